@@ -2,6 +2,31 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(h, 2 * i - 1, 100)) AS first_doc
+  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM docs)
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new
+  FROM windows WHERE first_doc < doc_id
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM marked) GROUP BY doc_id, nth
+), gaps AS (
+  SELECT doc_id, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM spans
+), cut AS (
+  SELECT doc_id, string_agg(substr(h, 2 * since - 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS tail,
+         sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 1) - 1))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""
+
 OP9 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -21,4 +46,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op9_substring_dedup": OP9}
+ORACLES = {"op1_suffix_dedup": OP1, "op9_substring_dedup": OP9}

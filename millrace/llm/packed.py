@@ -143,14 +143,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word's bytes, in pieces so that temporaries stay small."""
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of data[start:end] for rising starts, in pieces so that temporaries stay small."""
     out = np.empty(len(starts), U64)
-    step = 1 << 17
-    for i in range(0, len(starts), step):
-        j = min(i + step, len(starts))
-        a, b = int(starts[i]), int(ends[j - 1])
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(starts, a + span))
+        b = int(ends[i:j].max())
         out[i:j] = slices(prefix_sums(data[a:b].astype(U64) + U64(1)), starts[i:j] - a, ends[i:j] - a)
+        i = j
     return out
 
 
@@ -223,6 +225,12 @@ def sort_block(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return table, np.cumsum(new) - 1
 
 
+def expand(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at, at+1, ... at+size-1 of every pair, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - (ends - size), size)
+
+
 def split_sorted(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, from, to) for each run of a sorted array."""
     if not len(bucket):

@@ -33,7 +33,7 @@ def block_windows(table: pa.Table, window: int) -> dict:
     """Words, window hashes and window starts of a block; windows in reading order."""
     data, offsets = P.text_buffer(table.column("text"))
     starts, ends, doc = P.words_of(data, offsets)
-    h = P.word_hashes(data, starts, ends)
+    h = P.slice_hashes(data, starts, ends)
     first = P.grams(P.prefix_sums(h), window)
     second = P.mix(first ^ P.grams(P.prefix_sums(P.mix(h, 7)), window), 11)
     whole = np.flatnonzero(doc[: len(first)] == doc[window - 1 :]) if len(first) else np.empty(0, np.int64)
