@@ -6,8 +6,8 @@ OP1 = r"""
 WITH docs AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), windows AS (
-  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(h, 2 * i - 1, 100)) AS first_doc
-  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM docs)
+  SELECT doc_id, g.i AS i, min(doc_id) OVER (PARTITION BY g.s) AS first_doc
+  FROM (SELECT doc_id, unnest(list_transform(range(1, length(h) // 2 - 48), lambda i: {'i': i, 's': array_slice(encode(h), 2 * i - 1, 2 * i + 98)})) AS g FROM docs)
 ), marked AS (
   SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new
   FROM windows WHERE first_doc < doc_id
