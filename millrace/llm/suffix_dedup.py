@@ -151,12 +151,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         data, offsets = P.text_buffer(table.column("text"))
         distinct, _, count, runs = ranked(segments(data, offsets, length, seed)[0])
         few = np.minimum(count, 255).astype(np.uint8)
-        return pa.table({"bucket": pa.array([r[0] for r in runs], pa.int64()), "block": pa.array([group_key[0].as_py()] * len(runs), pa.int64()), "payload": pa.array([P.pack(distinct[i:j], few[i:j]) for _, i, j in runs], pa.binary())})
+        short = (distinct << P.U64(bits)) >> P.U64(16)  # 48 bits beside the bucket's: a clash only sends a segment in vain
+        high, low = (short >> P.U64(16)).astype(np.uint32), (short & P.U64(0xFFFF)).astype(np.uint16)
+        return pa.table({"bucket": pa.array([r[0] for r in runs], pa.int64()), "block": pa.array([group_key[0].as_py()] * len(runs), pa.int64()), "payload": pa.array([P.pack(high[i:j], low[i:j], few[i:j]) for _, i, j in runs], pa.binary())})
 
     def answer(group_key: tuple, table: pa.Table) -> pa.Table:
-        payloads = [P.unpack(p, np.uint64, np.uint8) for p in table.column("payload").to_pylist()]
-        _, rank, blocks_with = np.unique(np.concatenate([p[0] for p in payloads]), return_inverse=True, return_counts=True)
-        places = np.bincount(rank, weights=np.concatenate([p[1] for p in payloads]))
+        payloads = [P.unpack(p, np.uint32, np.uint16, np.uint8) for p in table.column("payload").to_pylist()]
+        high, low, few = (np.concatenate(x) for x in zip(*payloads, strict=True))
+        _, rank, blocks_with = np.unique((high.astype(np.uint64) << P.U64(16)) | low, return_inverse=True, return_counts=True)
+        places = np.bincount(rank, weights=few)
         code = ((blocks_with > 1).astype(np.uint8) + (places > wide_seed) * 2).astype(np.uint8)[rank]
         parts_ = np.split(code, np.cumsum([len(p[0]) for p in payloads])[:-1])
         return pa.table({"bucket": pa.array([group_key[0].as_py()] * len(parts_), pa.int64()), "block": table.column("block"), "payload": pa.array([x.tobytes() for x in parts_], pa.binary())})
@@ -199,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
             order = np.argsort(shard, kind="stable")
             for value, i, j in P.split_sorted(shard[order]):
                 o = order[i:j]
-                out.append((value, False, P.pack(name[o], d[o].astype(np.int32), r[o].astype(np.int32), (a[o] - offsets[r[o]]).astype(np.int32), s[o].astype(np.uint8), data[P.expand(a[o], s[o] + length - 1)])))
+                out.append((value, False, P.pack((name[o] >> P.U64(32)).astype(np.uint32), (r[o] - d[o]).astype(np.int32), r[o].astype(np.int32), (a[o] - offsets[r[o]]).astype(np.int32), s[o].astype(np.uint8), data[P.expand(a[o], s[o] + length - 1)])))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([block] * len(out), pa.int64()), "known": pa.array([x[1] for x in out], pa.bool_()), "payload": pa.array([x[2] for x in out], pa.binary())})
 
     def scan(group_key: tuple, table: pa.Table) -> pa.Table:
@@ -233,10 +236,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
                 r, a, n = P.unpack(payload, np.int32, np.int32, np.int32)
                 found.append(np.stack([np.full(len(r), block), r, a, n]).astype(np.int64))
                 continue
-            name, d, r, a, s, raw = P.unpack(payload, np.uint64, np.int32, np.int32, np.int32, np.uint8, np.uint8)
+            name, spare, r, a, s, raw = P.unpack(payload, np.uint32, np.int32, np.int32, np.int32, np.uint8, np.uint8)
             blob, begin, gone = raw.tobytes(), 0, []
             ends = np.cumsum(s.astype(np.int64) + length - 1).tolist()
-            for i, (end, doc, name_) in enumerate(zip(ends, d.tolist(), name.tolist(), strict=True)):
+            for i, (end, doc, name_) in enumerate(zip(ends, (r - spare).tolist(), name.tolist(), strict=True)):
                 segment, begin = blob[begin:end], end
                 owner = (block << 32) | doc
                 had, other = first.setdefault(segment, owner), lone.get(name_)
