@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from millrace.llm.license_scan import BASE, COVER, SLACK, TEMPLATES
+
 OP1 = r"""
 WITH docs AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
@@ -27,6 +29,49 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM docs LEFT JOIN cut USING (doc_id)
 """
 
+PHRASES = ", ".join(f"({n}, '{label}', {n < len(BASE)}, '{text}')" for n, (label, text) in enumerate(BASE + TEMPLATES))
+
+OP2 = rf"""
+WITH phrases(template, label, base, phrase) AS (
+  VALUES {PHRASES}
+), pairs AS (
+  SELECT template, label, base, len(t) - 1 AS pairs, unnest(range(1, len(t))) AS q, t
+  FROM (SELECT *, string_split(phrase, ' ') AS t FROM phrases)
+), words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, p, w[p] AS one, w[p + 1] AS two FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM words)
+), votes AS (
+  SELECT DISTINCT doc_id, template, label, base, pairs, q, p - q AS diagonal
+  FROM places JOIN pairs ON one = t[q] AND two = t[q + 1]
+), diagonals AS (
+  SELECT doc_id, template, label, base, pairs, diagonal, list(DISTINCT q) AS places
+  FROM votes GROUP BY doc_id, template, label, base, pairs, diagonal
+), marked AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS fresh
+  FROM diagonals
+), islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM marked
+), merged AS (
+  SELECT doc_id, template, label, base, pairs, island,
+         CAST(len(list_distinct(flatten(list(places)))) AS DOUBLE) / pairs AS share,
+         count(*) FILTER (WHERE len(places) = pairs) AS whole,
+         min(diagonal) FILTER (WHERE len(places) = pairs) AS low, max(diagonal) FILTER (WHERE len(places) = pairs) AS high
+  FROM islands GROUP BY doc_id, template, label, base, pairs, island
+), found AS (
+  SELECT doc_id, sum(whole) FILTER (WHERE base) AS n_base,
+         min(low) FILTER (WHERE base) AS first_word, max(high) FILTER (WHERE base) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base AND whole > 0)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE CASE WHEN base THEN whole > 0 ELSE share >= {COVER} END)), ',') AS labels,
+         max(share) AS score
+  FROM merged GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM words LEFT JOIN found USING (doc_id)
+"""
+
 OP9 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -46,4 +91,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_suffix_dedup": OP1, "op9_substring_dedup": OP9}
+ORACLES = {"op1_suffix_dedup": OP1, "op2_license_scan": OP2, "op9_substring_dedup": OP9}
