@@ -123,12 +123,12 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of every maximal run of non-space bytes; words never cross documents."""
+def words_of(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every maximal run of bytes not in ``apart``; words never cross documents."""
     if not len(data):
         empty = np.empty(0, np.int64)
         return empty, empty, empty
-    solid = ~SPACE[data]
+    solid = ~apart[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     cuts = offsets[1:-1]

@@ -133,18 +133,24 @@ def fit_risk(positive: np.ndarray, plain: np.ndarray, prior: float, steps: int =
 
 
 def fit_scale(g: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and shift of g for labels y, by Newton steps with a small ridge."""
-    x = np.stack([g, np.ones(len(g))], axis=1)
-    t = np.array([1.0, 0.0])
-    for _ in range(50):
+    """Logistic slope and shift of g for labels y: smoothed targets, damped Newton steps on a standard scale."""
+    middle, wide = float(g.mean()), float(g.std()) + 1e-9
+    x = np.stack([(g - middle) / wide, np.ones(len(g))], axis=1)
+    ones = y.sum()
+    target = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    loss = lambda t: float(np.logaddexp(0, x @ t).sum() - target @ (x @ t))
+    t, damp = np.zeros(2), 1e-3
+    for _ in range(200):
         p = sigmoid(x @ t)
-        grad = x.T @ (p - y) + 1e-3 * len(y) * (t - [1.0, 0.0]) * [0.01, 0.0]
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * len(y) * np.eye(2)
-        move = np.linalg.solve(curve, grad)
-        t = t - np.clip(move, -2, 2)
-        if np.abs(move).max() < 1e-8:
-            break
-    return float(t[0]), float(t[1])
+        curve = (x * (p * (1 - p))[:, None]).T @ x
+        move = np.linalg.solve(curve + damp * (1 + np.diag(np.diag(curve))) + 1e-9 * np.eye(2), x.T @ (p - target))
+        if loss(t - move) <= loss(t):
+            t, damp = t - move, damp / 3
+            if np.abs(move).max() < 1e-7:
+                break
+        else:
+            damp *= 10
+    return float(t[0] / wide), float(t[1] - t[0] * middle / wide)
 
 
 class Model:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import license_scan, mixing, quality, simhash_dedup, substring_dedup, suffix_dedup
+from millrace.llm import license_scan, mixing, quality, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 from millrace.llm.oracles import ORACLES
 
 
@@ -35,12 +35,17 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op4_simhash_near_dedup, op5_quality_classifier, op6_source_mixing, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op4_simhash_near_dedup, op5_quality_classifier, op6_source_mixing, op8_toxicity, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
