@@ -207,3 +207,13 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns of ``mix_sources``, with the copies that each document gives."""
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, with all their columns and the number of ``copies`` of each.
+
+    Rows with an equal doc_id, or all with none, are taken alike: by the largest of their draws.
+    """
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    taken = docs.drop("copies").join(copies, F.col("doc_id").eqNullSafe(F.col("_key")))
+    return taken.drop("_key").withColumnRenamed("_copies", "copies")

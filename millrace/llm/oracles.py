@@ -72,6 +72,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 FROM words LEFT JOIN found USING (doc_id)
 """
 
+OP3 = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), component AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN component USING (vec_id) LEFT JOIN degree USING (vec_id)
+"""
+
 OP9 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -91,4 +112,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_suffix_dedup": OP1, "op2_license_scan": OP2, "op9_substring_dedup": OP9}
+ORACLES = {"op1_suffix_dedup": OP1, "op2_license_scan": OP2, "op3_embedding_near_dedup": OP3, "op9_substring_dedup": OP9}

@@ -206,11 +206,11 @@ def block_column(key: str, shape: dict, block_bytes: int) -> tuple[Column, int]:
     return F.when(x.isNull(), F.lit(total)).otherwise(slot * inner + part).cast("long"), total + 1
 
 
-def ordered_blocks(docs: DataFrame, shape: dict, block_bytes: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
-    """(block, key, text) dealt out by block; the number of blocks; the number of partitions."""
+def ordered_blocks(docs: DataFrame, shape: dict, block_bytes: int, key: str = "doc_id", text: str = "text", more: tuple = ()) -> tuple[DataFrame, int, int]:
+    """(block, key, text, *more) dealt out by block; the number of blocks; the number of partitions."""
     block, n = block_column(key, shape, block_bytes)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 2))
-    dealt = docs.select(block.alias("block"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    dealt = docs.select(block.alias("block"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *more)
     return dealt.repartition(parts, "block"), n, parts
 
 

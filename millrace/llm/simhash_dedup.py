@@ -28,7 +28,7 @@ from itertools import combinations, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import packed as P
@@ -100,8 +100,8 @@ def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | N
     """(a, b): a spanning forest of the links between (bits, rep) classes at ``distance`` or fewer differing bits."""
     lows, widths, budgets = ring(distance)
     m = len(widths)
+    n = classes.count()
     if chain is None:  # about 2**22 classes to each further segment; every chain finds the same links
-        n = classes.count()
         chain = 1 + (n > 1 << 22) + (n > 1 << 32)
     turned = lambda i: F.shiftleft("bits", (BITS - lows[i]) % BITS).bitwiseOR(F.shiftrightunsigned("bits", lows[i])) if lows[i] else F.col("bits")
     starts, masks = [], []
@@ -114,7 +114,7 @@ def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | N
     rows = rows.select("bits", "rep", "start", F.col("part").bitwiseXOR(F.col("mask")).alias("part"), (F.col("nth") > 0).alias("probe"))
     met = tiled(rows, ["start", "part"], "bits")
     # one task takes many small buckets; a pair of tiles of a large bucket has a group of its own
-    groups = max(16, 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(16, 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * m // 50_000)
     group = F.pmod(F.xxhash64("start", "part", "tile_a", "tile_b"), F.lit(groups))
 
     def link(table: pa.Table) -> pa.Table:
@@ -158,3 +158,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     of_class = classes.join(groups, classes["rep"] == groups["node"], "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
     shown = F.lower(F.lpad(F.hex("bits"), 16, "0"))
     return marked.join(of_class, "bits").select(F.col("key").alias(key), shown.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns.
+
+    The one with the smallest doc_id stays; of rows with an equal doc_id, the one
+    with the smallest text; rows with a null doc_id all stay.
+    """
+    near = cut_lineage(near_duplicates(docs, shingle, distance))
+    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    if near.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return out.unionByName(docs.where("doc_id is null"))

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import packed as P
 
@@ -76,14 +77,15 @@ def kept_texts(w: dict, gone: np.ndarray, rows: int) -> list[bytes]:
     return out
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """(key, n_words, n_removed, kept_text, kept_sha256) of every document; kept_text is null unless ``texts``.
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """(key, n_words, n_removed, kept_sha256) of every document; with ``carry`` also kept_text and row, all its columns.
 
     A word goes if a window that covers it has a word sequence that also starts
     earlier: in a document with a smaller key, or before it in the same one.
     """
     shape = P.corpus_shape(docs, key, text)
-    blocks, _, parts = P.ordered_blocks(docs, shape, block_bytes, key, text)
+    row = F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row")
+    blocks, _, parts = P.ordered_blocks(docs, shape, block_bytes, key, text, (row,) if carry else ())
     # about one hash a word, some 6 bytes of text; payloads of a bucket stay near 4 MB
     bits = max(0, int(np.ceil(np.log2(max(1, shape["bytes"] / 6 * 8 / (4 << 20))))))
 
@@ -121,15 +123,35 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, block_bytes:
         kept = kept_texts(w, gone, rows)
         n = np.bincount(w["doc"], minlength=rows)
         r = np.bincount(w["doc"][gone], minlength=rows)
-        return pa.table({"key": table.column("key"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "kept_text": pa.array([k.decode() if texts else None for k in kept], pa.string()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
-
+        out = {"key": table.column("key"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+        if carry:
+            out |= {"kept_text": pa.array([k.decode() for k in kept], pa.string()), "text": table.column("text"), "row": table.column("row")}
+        return pa.table(out)
+
+    schema = T.StructType.fromDDL("key long, n_words long, n_removed long, kept_sha256 string")
+    if carry:
+        schema = schema.add("kept_text", "string").add("text", "string").add("row", blocks.schema["row"].dataType)
     sent = blocks.groupBy("block").applyInArrow(send, SENT)
     spread = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     answers = sent.repartition(spread, "bucket").groupBy("bucket").applyInArrow(answer, SENT)
-    out = blocks.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(apply, "key long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    out = blocks.groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(apply, schema)
     return out.withColumnRenamed("key", key) if key != "key" else out
 
 
+def cut_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents with their repeated windows cut out, all columns kept.
+
+    Texts that lose nothing stay as they are; others are their kept words joined
+    by one space, and n_chars follows; documents that lose every word go.
+    """
+    cut = remove_repeated_windows(docs, window, block_bytes, carry=True).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") == 0, columns["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[columns[c].alias(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns of ``remove_repeated_windows``."""
-    return remove_repeated_windows(docs, texts=False).select("doc_id", "n_words", "n_removed", F.col("kept_sha256"))
+    return remove_repeated_windows(docs).select("doc_id", "n_words", "n_removed", F.col("kept_sha256"))
