@@ -131,6 +131,8 @@ class Items:
     def matches(self, data: np.ndarray, offsets: np.ndarray, least: float) -> list[tuple[int, int, float, int, int, int]]:
         """(row, item_id, score, places, first word, last word) of each pair that aligns."""
         h, row, at, g = self.grams_of(data, offsets)
+        if not len(at):
+            return []
         low, high = np.searchsorted(self.gram, g), np.searchsorted(self.gram, g, side="right")
         n = high - low
         entry = P.expand(low, n)
