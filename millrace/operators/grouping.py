@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 
 def constant_groups(rows: DataFrame, key: Sequence[str], place: Sequence[str], least: int = 2) -> DataFrame:
-    """Groups of equal constants: distinct occurrences first, then keys with at least ``least`` of them, in order of place."""
-    occurrence = F.struct(*place)
-    grouped = rows.select(*key, *[c for c in place if c not in key]).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(occurrence)).alias("places"))
-    return grouped.where(F.col("n") >= least)
+    """Distinct occurrences (key, place) of the constants that have at least ``least`` of them, with their number ``n``.
 
-
-def group_sizes(rows: DataFrame, key: Sequence[str], least: int = 2) -> DataFrame:
-    """Keys with at least ``least`` distinct rows and their number: the digest of ``constant_groups`` that no hot key can fill."""
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    One row an occurrence: a constant that is everywhere fills no array.  Order by key and place to read them.
+    """
+    occurrences = rows.select(*dict.fromkeys((*key, *place))).distinct()
+    sizes = occurrences.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return occurrences.join(sizes, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]).drop(*[f"_{k}" for k in key])
 
 
 def duplicates(rows: DataFrame, scope: Sequence[str], shape: Column, tokens: Column, least: int = 12) -> DataFrame:
