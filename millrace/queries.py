@@ -455,7 +455,7 @@ def safe_everywhere(spark, d):
 @query
 def glob(spark, d):
     path = F.regexp_replace("url", r"^[a-z]+://", "")
-    return read(spark, d, "pages").where(text.matches_glob(path, "**/*[1-4]*") | text.matches_glob(path, "*/?*/**/*1")).select("page_id")
+    return read(spark, d, "pages").where(text.matches_glob(path, "**/*1*") | text.matches_glob(path, "*/?*/**/*1")).select("page_id")
 
 
 @query
