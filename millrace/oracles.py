@@ -169,4 +169,9 @@ ORACLES = {
     "q_allowance_parse": """
       SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand || '+' || p_type ELSE '' END AS rules, CASE WHEN p_size < 40 THEN p_name ELSE '' END AS reason,
              concat_ws('; ', CASE WHEN p_size <= 25 THEN 'no rule is named' END, CASE WHEN p_size >= 40 THEN 'no reason is given' END) AS problems FROM part""",
+    "q_classified_calls": """
+      WITH calls AS (SELECT event_id, CASE WHEN value > 5 THEN CASE WHEN user_id % 2 = 0 THEN 'web' ELSE 'app' END END AS owner, event_type AS operation, [0, 1, 2, 4][event_id % 4 + 1] AS bit FROM events),
+      known(owner, operation, bits, capability) AS (VALUES ('web', 'click', 7, 'streams'), ('web', 'view', 1, 'streams'))
+      SELECT event_id, CASE WHEN owner IS NULL THEN 'Unresolved' WHEN owner <> 'web' THEN 'NotStandardSymbol' WHEN bit = 0 THEN 'UnsupportedFramework' WHEN bits IS NULL OR bits & bit = 0 THEN 'UnsupportedOperation' ELSE 'Supported' END AS standing, capability
+      FROM calls LEFT JOIN known USING (owner, operation)""",
 }

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import allowances, text
-from millrace.operators import changes, edits, evidence, graph, grouping, spans
+from millrace.operators import catalogue, changes, edits, evidence, graph, grouping, spans
 from millrace.plans import rules
 from millrace.plans.conditions import where
 from millrace.plans.selection import Selection
 from millrace.plans.session import small_side
+from millrace.sources import lexer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -487,3 +488,17 @@ def allowance_parse(spark, d):
     comment = F.concat(F.lit("// rule-allow "), F.when(F.col("p_size") > 25, F.concat("p_brand", F.lit(", "), "p_type")).otherwise(F.lit("")), F.when(F.col("p_size") < 40, F.concat(F.lit(": "), F.col("p_name"))).otherwise(F.lit("")))
     parsed = read(spark, d, "part").select("p_partkey", allowances.parse_allowance(comment).alias("a"))
     return parsed.select("p_partkey", F.array_join("a.rules", "+").alias("rules"), F.col("a.reason").alias("reason"), F.col("a.problems").alias("problems"))
+
+
+@query
+def token_kinds(spark, d):
+    docs = read(spark, d, "documents").select(F.lit("corpus").alias("context_id"), F.col("doc_id").cast("string").alias("document_id"), "text")
+    return lexer.tokens(docs).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def classified_calls(spark, d):
+    events = read(spark, d, "events")
+    calls = events.select("event_id", F.when(F.col("value") > 5, F.when(F.col("user_id") % 2 == 0, "web").otherwise("app")).alias("owner"), F.col("event_type").alias("operation"), F.concat(F.lit("v"), (F.col("event_id") % 4).cast("string")).alias("framework"))
+    known = spark.createDataFrame([("web", "click", 7, "streams"), ("web", "view", 1, "streams")], "owner string, operation string, framework_bits int, capability string")
+    return catalogue.classify_calls(calls, known, ["web"], {"v1": 1, "v2": 2, "v3": 4}).select("event_id", "standing", "capability")
