@@ -80,8 +80,8 @@ def constant_key(type_key: Column, has_value: Column, value: Column) -> Column:
 
 
 def float_key(value: Column) -> Column:
-    """Key of a double by its bits: zeros differ by sign."""
-    return F.when(value == 0, F.when(F.atan2(value, F.lit(-1.0)) < 0, "-0.0").otherwise("0.0")).otherwise(value.cast("string"))
+    """Key of a double: its text, in which zeros differ by sign and a NaN equals a NaN."""
+    return value.cast("string")
 
 
 def length_prefixed(*parts: Column) -> Column:

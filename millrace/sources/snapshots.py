@@ -7,18 +7,19 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.text import fingerprint, glob_regex, utf16_order
 
 VERSION = 6
 DOCUMENT = "document_id string, path string, text string, is_generated boolean, file_identity string, is_editable boolean, fingerprint string, encoding_name string, has_bom boolean, is_default_compile_item boolean"
+DOCUMENTS = f"array<struct<{','.join(f.replace(' ', ':', 1) for f in DOCUMENT.split(', '))}>>"
 CONTEXT = (
     "context_id string, name string, assembly_name string, project_path string, target_framework string, is_analysis_target boolean, is_test_project boolean, "
     "nullable_context int, language_version int, output_kind int, preprocessor_symbols array<string>, properties map<string,string>, packages array<struct<id:string,version:string>>, "
-    f"referenced_context_ids array<string>, documents array<struct<{', '.join(f.replace(' ', ':', 1) for f in DOCUMENT.split(', '))}>>"
+    f"referenced_context_ids array<string>, documents {DOCUMENTS}"
 )
-SCHEMA = T.StructType.fromDDL(f"version int, contexts array<struct<{CONTEXT.replace(' string', ':string').replace(' boolean', ':boolean').replace(' int', ':int').replace(' array', ':array').replace(' map', ':map')}>>")
+FIELDS = [f.split(" ", 1)[0] for f in CONTEXT.split(", ")]
+SCHEMA = f"version int, contexts array<struct<{', '.join(f.replace(' ', ':', 1) for f in CONTEXT.split(', '))}>>"
 
 
 class Snapshot:
@@ -61,13 +62,12 @@ def read_snapshot(spark: SparkSession, path: str, version: int = VERSION) -> Sna
 
 def write_snapshot(snapshot: Snapshot, path: str, version: int = VERSION) -> None:
     """Write a snapshot as JSON lines of one context each group; Spark's committer makes it appear at once."""
-    own = [f.name for f in SCHEMA["contexts"].dataType.elementType["documents"].dataType.elementType.fields]
+    own = [f.split(" ")[0] for f in DOCUMENT.split(", ")]
     docs = snapshot.documents.groupBy("context_id").agg(F.collect_list(F.struct(*own)).alias("documents"))
     edges = snapshot.context_edges.groupBy(F.col("src").alias("context_id")).agg(F.array_sort(F.collect_set("dst")).alias("referenced_context_ids"))
     packs = snapshot.packages.groupBy("context_id").agg(F.array_sort(F.collect_list(F.struct("id", "version"))).alias("packages"))
     rows = snapshot.contexts.join(docs, "context_id", "left").join(edges, "context_id", "left").join(packs, "context_id", "left")
-    names = [f.name for f in SCHEMA["contexts"].dataType.elementType.fields]
-    rows.select(F.lit(version).alias("version"), F.array(F.struct(*names)).alias("contexts")).write.json(path)
+    rows.select(F.lit(version).alias("version"), F.array(F.struct(*FIELDS)).alias("contexts")).write.json(path)
 
 
 def loose_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
