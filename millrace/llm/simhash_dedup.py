@@ -38,38 +38,48 @@ SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 BITS = 64
+#: For keep_one: words of a shingle, differing bits of 64 and of 256 (64 and MORE words besides).
+STAGE_SHINGLE, STAGE_DISTANCE, STAGE_WIDE, MORE = 5, 12, 40, 3
+#: Runs of equal keys above this length are compared by blocks; buckets above TILE_ROWS in pairs of tiles.
+LONG_RUN, TILE_ROWS = 64, 8_192
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of a text's word shingles, repeats included."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS)
+    count = np.zeros(BITS, np.int64)
+    for i in range(0, len(bits), 255):
+        count += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(2 * count > len(bits)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, more: int = 0) -> list[int]:
+    """SimHash of a text's word shingles, repeats included; and ``more`` others of their remixed hashes."""
     words = text.lower().split()  # bytes: A-Z only, and the ASCII white space
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return [0] * (1 + more)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
+    n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, BITS)
-    count = np.zeros(BITS, np.int64)
-    for i in range(0, len(bits), 255):
-        count += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * count > len(bits)).tobytes(), "big")
+    hashes = b"".join([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)])
+    own = np.frombuffer(hashes, ">u8").astype(np.uint64)
+    return [majority(own), *(majority(P.mix(own, k + 1)) for k in range(more))]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, bits) of every document; no shuffle."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, bits, more) of every document; no shuffle."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = P.text_buffer(batch.column(1))
             raw, at = data.tobytes(), offsets.tolist()
-            out = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["key", "bits"])
+            out = np.array([fingerprint(raw[a:b], shingle, more=more) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64).reshape(-1, 1 + more)
+            rest = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * more, pa.int32()), pa.array(out[:, 1:].ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0].copy()), rest], ["key", "bits", "more"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string")).mapInArrow(each, "key long, bits long")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string")).mapInArrow(each, "key long, bits long, more array<long>")
 
 
 def ring(distance: int) -> tuple[list[int], list[int], list[int]]:
@@ -96,23 +106,46 @@ def probe_masks(widths: list[int], budgets: list[int]) -> list[int]:
     return sorted(out, key=int.bit_count)
 
 
-def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | None = None) -> DataFrame:
-    """(a, b): a spanning forest of the links between (bits, rep) classes at ``distance`` or fewer differing bits."""
+def close_pairs(bits: np.ndarray, key: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of equal keys, in pieces; in long runs only those within the distance, by blocks."""
+    runs = P.split_sorted(key)
+    short = np.ones(len(key), bool)
+    for _, lo, hi in runs:
+        if hi - lo > LONG_RUN:
+            short[lo:hi] = False
+            step = max(1, (1 << 19) // (hi - lo))
+            for i0 in range(lo, hi, step):
+                i1 = min(i0 + step, hi)
+                i, j = np.nonzero(np.bitwise_count(bits[i0:i1, None] ^ bits[None, i0:hi]) <= distance)
+                later = i < j
+                yield i[later] + i0, j[later] + i0
+    at = np.flatnonzero(short)
+    for i, j in runs_of_pairs(key[at]):
+        yield at[i], at[j]
+
+
+def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | None = None, wide: int | None = None) -> DataFrame:
+    """(a, b): a spanning forest of the links between (bits, rep) classes at ``distance`` or fewer differing bits.
+
+    With ``wide``, links also need at most so many differing bits over ``bits`` and ``more`` together.
+    """
+    if wide is None:
+        classes = classes.select("bits", "rep", F.array().cast("array<long>").alias("more"))
     lows, widths, budgets = ring(distance)
     m = len(widths)
     n = classes.count()
-    if chain is None:  # about 2**22 classes to each further segment; every chain finds the same links
-        chain = 1 + (n > 1 << 22) + (n > 1 << 32)
+    if chain is None:  # longer keys for more classes and for shorter segments; every chain finds the same links
+        chain = next((k for k in range(1, 4) if n >> (13 + sum(widths[:k])) == 0), 3)
     turned = lambda i: F.shiftleft("bits", (BITS - lows[i]) % BITS).bitwiseOR(F.shiftrightunsigned("bits", lows[i])) if lows[i] else F.col("bits")
     starts, masks = [], []
     for i in range(m):
         own = [widths[(i + k) % m] for k in range(chain)]
         starts.append(F.struct(F.lit(i).alias("start"), turned(i).bitwiseAND(F.lit((1 << sum(own)) - 1)).alias("part")))
         masks.append(F.array(*[F.lit(x).cast("long") for x in probe_masks(own, budgets)]))
-    rows = classes.where("rep is not null").select("bits", "rep", F.explode(F.array(*starts)).alias("s")).select("bits", "rep", "s.*")
-    rows = rows.select("bits", "rep", "start", "part", F.posexplode(F.element_at(F.array(*masks), F.col("start") + 1)).alias("nth", "mask"))
-    rows = rows.select("bits", "rep", "start", F.col("part").bitwiseXOR(F.col("mask")).alias("part"), (F.col("nth") > 0).alias("probe"))
-    met = tiled(rows, ["start", "part"], "bits")
+    rows = classes.where("rep is not null").select("bits", "rep", "more", F.explode(F.array(*starts)).alias("s")).select("bits", "rep", "more", "s.*")
+    rows = rows.select("bits", "rep", "more", "start", "part", F.posexplode(F.element_at(F.array(*masks), F.col("start") + 1)).alias("nth", "mask"))
+    rows = rows.select("bits", "rep", "more", "start", F.col("part").bitwiseXOR(F.col("mask")).alias("part"), (F.col("nth") > 0).alias("probe"))
+    met = tiled(rows, ["start", "part"], "bits", TILE_ROWS)
     # one task takes many small buckets; a pair of tiles of a large bucket has a group of its own
     groups = max(16, 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * m // 50_000)
     group = F.pmod(F.xxhash64("start", "part", "tile_a", "tile_b"), F.lit(groups))
@@ -127,8 +160,9 @@ def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | N
         names, vertex = np.unique(col["rep"], return_inverse=True)
         forest = Forest(len(names))
         bits = col["bits"].view(np.uint64)
+        rest = table.column("more").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
         across = col["tile_a"] != col["tile_b"]
-        for i, j in runs_of_pairs(key):
+        for i, j in close_pairs(bits, key, distance):
             # tiles that differ meet each other only; two probes never make a pair
             fits = (~across[i] | (col["_own"][i] != col["_own"][j])) & ~(col["probe"][i] & col["probe"][j])
             i, j = i[fits], j[fits]
@@ -142,7 +176,10 @@ def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | N
                 sofar = sofar + np.bitwise_count((apart >> low) & mask)
                 fits = sofar <= budget
                 i, j, start, apart, sofar = i[fits], j[fits], start[fits], apart[fits], sofar[fits]
-            hit = np.bitwise_count(apart) <= distance
+            full = np.bitwise_count(apart).astype(np.int64)
+            hit = full <= distance
+            if wide is not None:
+                hit &= full + np.bitwise_count(rest[i] ^ rest[j]).sum(1, dtype=np.int64) <= wide
             forest.link(vertex[i[hit]], vertex[j[hit]])
         linked = np.flatnonzero(forest.label != np.arange(len(names)))
         return pa.table({"a": pa.array(names[linked], pa.int64()), "b": pa.array(names[forest.label[linked]], pa.int64())})
@@ -150,23 +187,27 @@ def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | N
     return met.withColumn("_group", group).groupBy("_group").applyInArrow(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint, component_id) of every document."""
-    marked = cut_lineage(fingerprints(docs, shingle, key, text))
-    classes = cut_lineage(marked.groupBy("bits").agg(F.min("key").alias("rep")))
-    groups = components(similar_classes(classes, distance))
-    of_class = classes.join(groups, classes["rep"] == groups["node"], "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, wide: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fingerprint, component_id) of every document; ``wide`` as in ``similar_classes``."""
+    marked = cut_lineage(fingerprints(docs, shingle, 0 if wide is None else MORE, key, text))
+    classes = cut_lineage(marked.groupBy("bits", "more").agg(F.min("key").alias("rep")))
+    groups = components(similar_classes(classes, distance, wide=wide))
+    of_class = classes.join(groups, classes["rep"] == groups["node"], "left").select("bits", "more", F.coalesce("component", "rep").alias("component_id"))
     shown = F.lower(F.lpad(F.hex("bits"), 16, "0"))
-    return marked.join(of_class, "bits").select(F.col("key").alias(key), shown.alias("fingerprint"), "component_id")
+    return marked.join(of_class, ["bits", "more"]).select(F.col("key").alias(key), shown.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, wide: int = STAGE_WIDE) -> DataFrame:
     """One document of each group of near duplicates, with all its columns.
 
+    Near duplicates share some 0.8 or more of their five-word shingles: such texts
+    differ in up to ``distance`` of the 64 bits, and in at most ``wide`` of 256,
+    which texts of no such likeness never reach.
+
     The one with the smallest doc_id stays; of rows with an equal doc_id, the one
     with the smallest text; rows with a null doc_id all stay.
     """
-    near = cut_lineage(near_duplicates(docs, shingle, distance))
+    near = cut_lineage(near_duplicates(docs, shingle, distance, wide))
     kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
     if near.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():

@@ -144,10 +144,34 @@ def test_simhash(spark):
     found = brute_components(marks, linked)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup.near_duplicates(frame(spark, rows)).collect()}
     assert got == {i: (f"{marks[i]:016x}", found[i]) for i in marks}
-    kept = simhash_dedup.keep_one(frame(spark, rows))
+    kept = simhash_dedup.keep_one(frame(spark, rows), shingle=4, distance=4, wide=256)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
 
 
+def test_keep_one_drops_edited_copies_and_keeps_others(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(12)]
+    edited = []
+    for t in texts[:4]:
+        words = t.split()
+        for at in (30, 120, 200):
+            words[at] = word()
+        edited.append(" ".join(words))
+    half = [" ".join(t.split()[:150] + [word() for _ in range(150)]) for t in texts[4:8]]
+    rows = list(enumerate(texts + edited + half + texts[8:10]))
+    assert sorted(x.doc_id for x in simhash_dedup.keep_one(frame(spark, rows)).collect()) == [*range(12), *range(16, 20)]
+
+
+@pytest.mark.parametrize("run", [0, 64])
+def test_close_pairs(run, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "LONG_RUN", run)
+    rng = np.random.default_rng(2)
+    bits, key = rng.integers(0, 8, 300).astype(np.uint64), np.sort(rng.integers(0, 3, 300))
+    got = {(int(a), int(b)) for i, j in simhash_dedup.close_pairs(bits, key, 1) for a, b in zip(i, j, strict=True) if (int(bits[a]) ^ int(bits[b])).bit_count() <= 1}
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if key[i] == key[j] and (int(bits[i]) ^ int(bits[j])).bit_count() <= 1}
+
+
 @pytest.mark.parametrize("chain", [1, 2, 3])
 def test_every_chain_and_tile_finds_the_same_links(spark, chain, monkeypatch):
     r = random.Random(chain)
@@ -157,7 +181,7 @@ def test_every_chain_and_tile_finds_the_same_links(spark, chain, monkeypatch):
     linked = [(i, j) for i in range(len(marks)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= 4]
     if chain == 1:
         tiled = components.tiled
-        monkeypatch.setattr(simhash_dedup, "tiled", lambda rows, bucket, id_column: tiled(rows, bucket, id_column, tile=5))
+        monkeypatch.setattr(simhash_dedup, "tiled", lambda rows, bucket, id_column, tile: tiled(rows, bucket, id_column, tile=5))
     edges = simhash_dedup.similar_classes(spark.createDataFrame(signed, "bits long, rep long"), 4, chain)
     got = {r.node: r.component for r in components.components(edges).collect()}
     want = brute_components(range(len(marks)), linked)
