@@ -32,9 +32,9 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 42
 #: Documents of one part of a source in a round.
-PART = 20_000
+PART = 4_000
 #: Documents above this share of their part's sizes settle before the others.
-LARGE = 0.001
+LARGE = 0.003
 #: Up to so many sources, their targets are broadcast; beyond it, they are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
