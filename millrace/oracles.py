@@ -174,4 +174,11 @@ ORACLES = {
       known(owner, operation, bits, capability) AS (VALUES ('web', 'click', 7, 'streams'), ('web', 'view', 1, 'streams'))
       SELECT event_id, CASE WHEN owner IS NULL THEN 'Unresolved' WHEN owner <> 'web' THEN 'NotStandardSymbol' WHEN bit = 0 THEN 'UnsupportedFramework' WHEN bits IS NULL OR bits & bit = 0 THEN 'UnsupportedOperation' ELSE 'Supported' END AS standing, capability
       FROM calls LEFT JOIN known USING (owner, operation)""",
+    "q_distinct_definitions": "SELECT lang AS context_id, source AS symbol, 'f' || (n_chars % 7) AS path, doc_id AS start FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY 'f' || (n_chars % 7), doc_id) = 1",
+    "q_derived_from": "SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1",
+    "q_where_argument": """
+      SELECT o_orderkey AS call_id, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A' AND l_linestatus = 'O')
+        OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A')""",
+    "q_references_to": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#2'",
+    "q_routes": "SELECT s_suppkey AS route_id, CASE WHEN r_name <> 'ASIA' THEN concat('/', r_name, '/', n_name, '/', s_name) END AS route FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import allowances, text
-from millrace.operators import catalogue, changes, edits, evidence, graph, grouping, spans
+from millrace.operators import catalogue, changes, edits, evidence, facts, graph, grouping, spans
 from millrace.plans import rules
 from millrace.plans.conditions import where
 from millrace.plans.selection import Selection
@@ -502,3 +502,43 @@ def classified_calls(spark, d):
     calls = events.select("event_id", F.when(F.col("value") > 5, F.when(F.col("user_id") % 2 == 0, "web").otherwise("app")).alias("owner"), F.col("event_type").alias("operation"), F.concat(F.lit("v"), (F.col("event_id") % 4).cast("string")).alias("framework"))
     known = spark.createDataFrame([("web", "click", 7, "streams"), ("web", "view", 1, "streams")], "owner string, operation string, framework_bits int, capability string")
     return catalogue.classify_calls(calls, known, ["web"], {"v1": 1, "v2": 2, "v3": 4}).select("event_id", "standing", "capability")
+
+
+# Facts -----------------------------------------------------------------------
+
+
+@query
+def distinct_definitions(spark, d):
+    docs = read(spark, d, "documents")
+    parts = docs.select(F.col("lang").alias("context_id"), F.col("source").alias("symbol"), F.concat(F.lit("f"), (F.col("n_chars") % 7).cast("string")).alias("path"), F.col("doc_id").alias("start"))
+    return facts.distinct_definitions(parts)
+
+
+@query
+def derived_from(spark, d):
+    lineage = facts.ancestors(tree(spark, d).select(F.col("dst").alias("type"), F.col("src").alias("base")))
+    customers = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("type"))
+    return facts.derived_from(customers, lineage, "r1").select("c_custkey")
+
+
+@query
+def where_argument(spark, d):
+    calls = read(spark, d, "orders").select(F.col("o_orderkey").alias("call_id"), "o_custkey")
+    arguments = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("call_id"), F.col("l_returnflag").alias("parameter"), F.col("l_linestatus").alias("value"))
+    return facts.where_argument(calls, arguments, (F.col("parameter") == "A") & (F.col("value") == "O"), or_missing="A")
+
+
+@query
+def references_to(spark, d):
+    items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("decl_file"), F.lit(0).alias("decl_start"), F.lit(1).alias("decl_length"))
+    parts = read(spark, d, "part").where("p_brand = 'Brand#2'").select(F.col("p_partkey").alias("file_identity"), F.lit(0).alias("start"), F.lit(1).alias("length"))
+    return facts.references_to(items, parts).select("l_orderkey", "l_linenumber", F.col("decl_file").alias("l_partkey"))
+
+
+@query
+def routes(spark, d):
+    nation, region = read(spark, d, "nation"), read(spark, d, "region")
+    groups = nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("group_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_group"), F.concat(F.lit("/"), F.col("n_name")).alias("prefix"))
+    groups = groups.unionByName(region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("group_id"), F.lit(None).cast("string").alias("parent_group"), F.when(F.col("r_name") != "ASIA", F.concat(F.lit("/"), F.col("r_name"))).alias("prefix")))
+    mappings = read(spark, d, "supplier").select(F.col("s_suppkey").alias("route_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("group_id"), F.concat(F.lit("/"), F.col("s_name")).alias("template"))
+    return facts.routes(mappings, groups)
