@@ -14,7 +14,7 @@ def contains(outer_start: Column, outer_end: Column, start: Column, end: Column)
     return (outer_start <= start) & (outer_end >= end)
 
 
-def containment_join(inner: DataFrame, outer: DataFrame, document: Sequence[str], how: str = "inner", bin_width: int | None = None) -> DataFrame:
+def containment_join(inner: DataFrame, outer: DataFrame, document: Sequence[str], bin_width: int | None = None) -> DataFrame:
     """Spans of ``inner`` (start, end) with the spans of ``outer`` (o_start, o_end) of their document that hold them.
 
     With ``bin_width`` the outer spans are dealt to the bins they reach, and an
@@ -23,7 +23,7 @@ def containment_join(inner: DataFrame, outer: DataFrame, document: Sequence[str]
     """
     test = contains(F.col("o_start"), F.col("o_end"), F.col("start"), F.col("end"))
     if bin_width is None:
-        return inner.join(outer, [*document], how).where(test) if how == "inner" else inner.join(outer.select(*[F.col(c).alias(f"_{c}") for c in document], *[c for c in outer.columns if c not in document]), [F.col(c) == F.col(f"_{c}") for c in document] + [test], how).drop(*[f"_{c}" for c in document])
+        return inner.join(outer, [*document]).where(test)
     binned = outer.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("o_start") / bin_width), F.floor(F.col("o_end") / bin_width))))
     return inner.withColumn("_bin", F.floor(F.col("start") / bin_width)).join(binned, [*document, "_bin"]).where(test).drop("_bin")
 
