@@ -1,18 +1,26 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The n-grams of the test items' words are counted over all documents; the rarer
-half of each item's n-grams are its seeds.  Where a document has a seed, it is
-joined to the item at that offset; offsets close together are one place.  Each
-place is aligned word by word with the item: a match counts 2, a mismatch or a
-gap costs 1.  A score is the alignment's share of the item's full score, so that
-edited and paraphrased copies score by how much of them is left.
+"""Benchmark decontamination: seeds that no aligned copy can avoid, then Smith-Waterman alignment.
+
+Texts are aligned word by word: a match counts 2, a mismatch or a gap costs 1.
+A score is the alignment's share of the item's full score, so that edited and
+paraphrased copies score by how much of them is left.
+
+Candidates are found without loss.  A score of at least ``least`` leaves room for
+``slack`` = 2L - ceil(2L least) of an item of L words: 3 for each word replaced
+or left out, 2 for each at the ends that isn't aligned, 1 for each put in.  A pair
+of neighbouring item words stands in the text one or two words apart unless a word of
+it was lost (two pairs for 3) or two words were put in between (one for 2), so at
+most two thirds of the slack of the L - 1 pairs are gone and ``need`` of them are
+left.  Hence any L - need of them hold one that is left: the rarest by number of
+documents are the item's seeds.  Items too short for that are sought by their
+single words in the same way.  Documents that have a seed are aligned with the
+item around its pairs, where ``need`` of them stand close together.
 
 The seeds are sent to the executors in slices of items of at most
 ``slice_bytes`` of text; a larger benchmark takes more slices, each a pass over
 the documents.  Documents don't move.
 
 Defined results for odd input: a null or empty text matches nothing; items with
-fewer words than a seed match nothing; items with a null item_id are left out;
+fewer than ``n`` words match nothing; items with a null item_id are left out;
 rows with an equal doc_id are each reported; a null doc_id is reported as null;
 other columns are ignored (and kept by ``drop_leaks``); empty tables give an
 empty result (and leave the documents as they are).
@@ -20,6 +28,7 @@ empty result (and leave the documents as they are).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +42,8 @@ from millrace.llm.quality import pieces
 SEED_WORDS = 3
 MIN_SCORE = 0.5
 SLICE_BYTES = 32 << 20
-#: Offsets at most so many words apart are one place; a place is aligned with so much more text around it.
-NEAR, PAD = 12, 12
-RARE_SHARE, RARE_LEAST = 0.5, 8
+#: Regions of a text that overlap are aligned as one up to so many times the length of a single one.
+JOINED = 8
 
 #: Bytes that part words: all ASCII but letters and digits. Letters are read in lower case.
 APART = np.ones(256, bool)
@@ -75,20 +83,52 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, int(k), int(end) - 1
 
 
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two words in this order."""
+    with np.errstate(over="ignore"):
+        return P.mix(P.mix(a, 1) + b * P.U64(P.BASE))
+
+
+def word_keys(a: np.ndarray) -> np.ndarray:
+    return P.mix(a, 2)
+
+
+def slack_of(length: int, least: float) -> int:
+    """What an alignment of the least score may lose of an item's full score."""
+    return 2 * length - max(1, math.ceil(2 * length * least - 1e-9))
+
+
+def needed(length: int, least: float) -> tuple[bool, int]:
+    """Whether an item is sought by pairs or by single words, and how many of them every alignment has."""
+    slack = slack_of(length, least)
+    pairs = length - 1 - 2 * slack // 3
+    return (True, pairs) if pairs >= 1 else (False, (2 * length - slack + 1) // 2)
+
+
 class Items:
-    """Words of test items and the places of their n-grams, sorted by hash."""
+    """Words of test items and the places of their pairs (or words), sorted by hash."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int = SEED_WORDS):
-        self.ids, self.n = ids, n
+    def __init__(self, ids: list[int], texts: list[str], n: int = SEED_WORDS, least: float = MIN_SCORE):
+        self.ids, self.least = ids, least
         data, offsets = P.text_buffer(pa.array(texts, pa.string()))
         h, row = read_words(data, offsets)
         bounds = np.searchsorted(row, np.arange(len(ids) + 1))
         self.words = [h[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        grams = P.grams(P.prefix_sums(h), n)
-        at = np.flatnonzero(row[: len(grams)] == row[n - 1 :]) if len(grams) else np.empty(0, np.int64)
-        order = np.argsort(grams[at], kind="stable")
-        self.gram, at = grams[at][order], at[order]
-        self.item, self.place = row[at], at - bounds[row[at]]
+        self.need, self.keys = np.zeros(len(ids), np.int64), []
+        self.singles = False
+        for k, words in enumerate(self.words):
+            pairs, self.need[k] = needed(len(words), least)
+            self.singles |= not pairs and len(words) >= n
+            own = pair_keys(words[:-1], words[1:]) if pairs else word_keys(words)
+            self.keys.append(own if len(words) >= n else own[:0])
+        gram = np.concatenate([*self.keys, np.empty(0, np.uint64)])
+        item = np.repeat(np.arange(len(ids)), [len(k) for k in self.keys])
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.item = gram[order], item[order]
+        self.seed = np.ones(len(gram), bool)
+        # each item's own keys by hash, with their places
+        self.orders = [np.argsort(k, kind="stable") for k in self.keys]
+        self.keys = [k[o] for k, o in zip(self.keys, self.orders, strict=True)]
         self.sift()
 
     def sift(self) -> None:
@@ -103,66 +143,104 @@ class Items:
         self.sift()
 
     def grams_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All words and rows; positions and hashes of the n-grams that items have."""
+        """All words and rows; positions, rising, and hashes of the pairs and words that items have."""
         h, row = read_words(data, offsets)
-        grams = P.grams(P.prefix_sums(h), self.n)
-        at = np.flatnonzero(self.maybe[grams >> P.U64(44)]) if len(grams) else np.empty(0, np.int64)
-        at = at[row[at] == row[at + self.n - 1]]
-        g = grams[at]
-        if not len(self.gram):
-            return h, row, at[:0], g[:0]
-        i = np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)
-        hit = self.gram[i] == g
-        return h, row, at[hit], g[hit]
+        found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+        for apart in (0, 1, 2) if self.singles else (1, 2):
+            end = max(0, len(h) - apart)
+            g = pair_keys(h[:end], h[apart:]) if apart else word_keys(h)
+            at = np.flatnonzero(self.maybe[g >> P.U64(44)])
+            at = at[row[at] == row[at + apart]]
+            g = g[at]
+            if len(self.gram):
+                hit = self.gram[np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)] == g
+                found.append((at[hit], g[hit]))
+        at, g = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        order = np.argsort(at, kind="stable")
+        return h, row, at[order], g[order]
 
     def keep_rare(self, counts: dict[int, int]) -> None:
-        """Keep each item's rarer n-grams by number of documents."""
+        """Seeds are as many of each item's rarest pairs by number of documents as no alignment can avoid."""
         df = np.array([counts.get(int(g), 0) for g in self.gram.tolist()], np.int64)
-        order = np.lexsort((self.place, df, self.item))
+        order = np.lexsort((self.gram, df, self.item))
         item = self.item[order]
-        first = np.searchsorted(item, item)
-        nth = np.arange(len(item)) - first
-        size = np.searchsorted(item, item, side="right") - first
-        keep = np.zeros(len(order), bool)
-        keep[order] = nth < np.maximum(RARE_LEAST, np.ceil(size * RARE_SHARE))
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        self.sift()
-
-    def matches(self, data: np.ndarray, offsets: np.ndarray, least: float) -> list[tuple[int, int, float, int, int, int]]:
+        nth = np.arange(len(item)) - np.searchsorted(item, item)
+        size = np.searchsorted(item, item, side="right") - np.searchsorted(item, item)
+        self.seed = np.zeros(len(order), bool)
+        self.seed[order] = nth <= size - self.need[item]
+
+    def regions(self, k: int, at: np.ndarray, g: np.ndarray, base: int, end: int) -> list[tuple[int, int]]:
+        """Stretches of a text that hold every alignment with item ``k``, from its pairs' positions and hashes."""
+        keys, size = self.keys[k], len(self.words[k])
+        slack = slack_of(size, self.least)
+        low, high = np.searchsorted(keys, g), np.searchsorted(keys, g, side="right")
+        entry = P.expand(low, high - low)
+        at = np.repeat(at, high - low)
+        need = int(self.need[k])
+        if len(at) < need:
+            return []
+        # positions rise: runs of ``need`` of them within the most words that an alignment takes
+        close = at[need - 1 :] - at[: len(at) - need + 1] < size + slack
+        edge = np.zeros(len(at) + 1, np.int64)
+        first = np.flatnonzero(close)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + need, -1)
+        inside = np.cumsum(edge[:-1]) > 0
+        shift = np.unique(at[inside] - self.orders[k][entry[inside]])
+        out: list[tuple[int, int]] = []
+        most = JOINED * (size + 2 * slack)
+        for s in shift.tolist():
+            lo, hi = max(base, s - slack), min(end, s + size + slack)
+            if out and lo <= out[-1][1] and hi - out[-1][0] <= most:
+                out[-1] = (out[-1][0], max(hi, out[-1][1]))
+            else:
+                out.append((lo, hi))
+        return out
+
+    def places(self, k: int, h: np.ndarray, regions: list[tuple[int, int]]) -> tuple[int, list[list[int]]]:
+        """Best score of item ``k`` in the regions, and the stretches, apart from each other, where it aligns."""
+        words, best, spans = self.words[k], 0, []
+        least = 2 * len(words) - slack_of(len(words), self.least)
+        while regions:
+            lo, hi = regions.pop()
+            if 2 * (hi - lo) < least:
+                continue
+            score, a, b = align(words, h[lo:hi])
+            if score >= least:
+                best = max(best, score)
+                spans.append([lo + a, lo + b])
+                regions += [(lo, lo + a), (lo + b + 1, hi)]
+        apart: list[list[int]] = []
+        for a, b in sorted(spans):
+            if apart and a <= apart[-1][1]:
+                apart[-1][1] = max(b, apart[-1][1])
+            else:
+                apart.append([a, b])
+        return best, apart
+
+    def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
         """(row, item_id, score, places, first word, last word) of each pair that aligns."""
         h, row, at, g = self.grams_of(data, offsets)
         if not len(at):
             return []
         low, high = np.searchsorted(self.gram, g), np.searchsorted(self.gram, g, side="right")
-        n = high - low
-        entry = P.expand(low, n)
-        at = np.repeat(at, n)
-        item, shift = self.item[entry], at - self.place[entry]
-        begin = np.searchsorted(row, np.arange(len(offsets)))
-        order = np.lexsort((shift, item, row[at]))
-        r, item, shift = row[at][order], item[order], shift[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > NEAR)
-        firsts = np.flatnonzero(new)
-        lasts = np.r_[firsts[1:], len(r)] - 1
-        out: dict[tuple[int, int], list] = {}
-        for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
-            words = self.words[item[a]]
-            base, end = int(begin[r[a]]), int(begin[r[a] + 1])
-            lo = max(base, int(shift[a]) - PAD)
-            hi = min(end, int(shift[b]) + len(words) + PAD)
-            score, k0, k1 = align(words, h[lo:hi])
-            share = score / (2 * len(words))
-            if share >= least:
-                pair = out.setdefault((int(r[a]), int(item[a])), [share, 0, lo + k0 - base, lo + k1 - base])
-                pair[0] = max(pair[0], share)
-                pair[1] += 1
-                pair[2], pair[3] = min(pair[2], lo + k0 - base), max(pair[3], lo + k1 - base)
-        return [(i, self.ids[k], *v) for (i, k), v in out.items()]
-
-
-def item_slices(docs: DataFrame, benchmark: DataFrame, n: int, slice_bytes: int) -> Iterator[Items]:
-    """Items with rare seeds only, in slices of bounded size."""
+        seeds = np.r_[0, np.cumsum(self.seed)]
+        some = np.flatnonzero(seeds[high] > seeds[low])
+        entry = P.expand(low[some], (high - low)[some])
+        both = row[np.repeat(at[some], (high - low)[some])] * len(self.ids) + self.item[entry]
+        begin, begin_at = np.searchsorted(row, np.arange(len(offsets))), np.searchsorted(row[at], np.arange(len(offsets)))
+        out = []
+        for pair in np.unique(both[self.seed[entry]]).tolist():
+            r, k = divmod(pair, len(self.ids))
+            base, x, y = int(begin[r]), int(begin_at[r]), int(begin_at[r + 1])
+            best, spans = self.places(k, h, self.regions(k, at[x:y], g[x:y], base, int(begin[r + 1])))
+            if spans:
+                out.append((r, self.ids[k], best / (2 * len(self.words[k])), len(spans), spans[0][0] - base, spans[-1][1] - base))
+        return out
+
+
+def item_slices(docs: DataFrame, benchmark: DataFrame, least: float, n: int, slice_bytes: int) -> Iterator[Items]:
+    """Items with their seeds chosen, in slices of bounded size."""
     named = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).count()
     total = named.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     slices = max(1, -(-total // slice_bytes))
@@ -170,7 +248,7 @@ def item_slices(docs: DataFrame, benchmark: DataFrame, n: int, slice_bytes: int)
         rows = sorted(named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).select("item_id", "text").toLocalIterator())
         if not rows:
             continue
-        items = Items([r[0] for r in rows], [r[1] for r in rows], n)
+        items = Items([r[0] for r in rows], [r[1] for r in rows], n, least)
 
         def count(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(items.gram), np.int64)
@@ -190,13 +268,13 @@ def item_slices(docs: DataFrame, benchmark: DataFrame, n: int, slice_bytes: int)
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE, n: int = SEED_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, item_id, score, n_places, first_word, last_word) of each document and item that align."""
     out = docs.sparkSession.createDataFrame([], FOUND)
-    for items in item_slices(docs, benchmark, n, slice_bytes):
+    for items in item_slices(docs, benchmark, least, n, slice_bytes):
 
         def each(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 for a, _, data, offsets in pieces(batch, 1):
-                    rows += [(batch.column(0)[a + i].as_py(), *x) for i, *x in items.matches(data, offsets, least)]
+                    rows += [(batch.column(0)[a + i].as_py(), *x) for i, *x in items.matches(data, offsets)]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(columns)], ["key", "item_id", "score", "n_places", "first_word", "last_word"])
 
@@ -212,13 +290,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE,
     """The documents that no test item aligns with, with all their columns."""
     at = docs.columns.index("text")
     out = docs
-    for items in item_slices(docs, benchmark, n, slice_bytes):
+    for items in item_slices(docs, benchmark, least, n, slice_bytes):
 
         def each(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for a, _, data, offsets in pieces(batch, at):
-                    clean[[a + m[0] for m in items.matches(data, offsets, least)]] = False
+                    clean[[a + m[0] for m in items.matches(data, offsets)]] = False
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(each, docs.schema)

@@ -4,11 +4,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import components, decontamination, embedding_dedup, license_scan, mixing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
+from millrace.llm import packed as P
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -389,3 +391,42 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     none = docs.limit(0)
     for made in (suffix_dedup.remove_repeats(none), substring_dedup.cut_repeats(none), simhash_dedup.keep_one(none), mixing.mixed_documents(none)):
         assert made.count() == 0
+
+
+@pytest.mark.parametrize("edit", ["replace", "insert", "drop", "mixed"])
+def test_decontamination_finds_every_pair_that_aligns(edit):
+    r = random.Random(21)
+    words = [f"w{min(r.randrange(400), r.randrange(400))}" for _ in range(20_000)]
+    items = [words[i * 60 : i * 60 + r.choice((3, 4, 7, 15, 30, 45))] for i in range(40)]
+    texts = [words[5_000 + i * 150 : 5_150 + i * 150] for i in range(40)]
+    for i, item in enumerate(items):
+        for every in (1, 2, 3, 4, 5, 10):
+            copy = []
+            for k, w in enumerate(item):
+                how = r.choice(("replace", "insert", "drop")) if edit == "mixed" else edit
+                if k % every != every - 1:
+                    copy.append(w)
+                elif how != "drop":
+                    copy += ["new"] if how == "replace" else [w, *["new"] * r.choice((1, 1, 2))]
+            texts.append(words[9_000 + i * 40 : 9_040 + i * 40] + copy + words[12_000 + i * 40 : 12_040 + i * 40])
+    data, offsets = P.text_buffer(pa.array([" ".join(t) for t in texts]))
+    found = decontamination.Items(list(range(40)), [" ".join(t) for t in items])
+    h, row, at, g = found.grams_of(data, offsets)
+    counts = {}
+    for key in set(zip(row[at].tolist(), g.tolist())):
+        counts[key[1]] = counts.get(key[1], 0) + 1
+    found.keep_rare(counts)
+    got = {(m[0], m[1]): m[2] for m in found.matches(data, offsets)}
+    begin = np.searchsorted(row, np.arange(len(texts) + 1))
+    want = {(i, k): s / (2 * len(w)) for i in range(len(texts)) for k, w in enumerate(found.words) if (s := decontamination.align(w, h[begin[i] : begin[i + 1]])[0]) >= len(w)}
+    assert got == want and len(want) > 100
+
+
+def test_decontamination_finds_items_leaked_only_as_edited_copies(spark):
+    r = random.Random(22)
+    items = [[f"w{r.randrange(2_000)}" for _ in range(36)] for _ in range(10)]
+    copies = [(i, " ".join(f"x{r.randrange(99)}" if k % 5 == 4 else w for k, w in enumerate(item)), None, None, 0) for i, item in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame(copies * 3, DOCS)
+    got = decontamination.find_leaks(docs, bench)
+    assert {(x.doc_id, x.item_id, x.n_places) for x in got.collect()} == {(i, i, 1) for i in range(10)} and decontamination.drop_leaks(docs, bench).count() == 0
