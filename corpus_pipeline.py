@@ -11,7 +11,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, mixing, quality, simhash_dedup, substring_dedup
+from millrace.llm import decontamination, mixing, quality, shingle_dedup, substring_dedup
 from millrace.llm.registry import table
 
 
@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return simhash_dedup.keep_one(docs)
+    return shingle_dedup.keep_one(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import components, decontamination, embedding_dedup, license_scan, mixing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
+from millrace.llm import components, decontamination, embedding_dedup, license_scan, mixing, quality, shingle_dedup, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
 from millrace.llm import packed as P
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -430,3 +430,46 @@ def test_decontamination_finds_items_leaked_only_as_edited_copies(spark):
     docs = spark.createDataFrame(copies * 3, DOCS)
     got = decontamination.find_leaks(docs, bench)
     assert {(x.doc_id, x.item_id, x.n_places) for x in got.collect()} == {(i, i, 1) for i in range(10)} and decontamination.drop_leaks(docs, bench).count() == 0
+
+
+def test_shingle_dedup_links_exactly_the_pairs_above_the_threshold(spark, monkeypatch):
+    r = random.Random(31)
+    line = " ".join(f"c{k}" for k in range(12))
+    texts = []
+    for k in range(30):
+        base = [f"w{r.randrange(3_000)}" for _ in range(r.choice((4, 30, 120)))]
+        for edits in (0, 1, 2, 3, 4):
+            words = list(base)
+            for at in r.sample(range(len(base)), min(edits, len(base) - 1)):
+                words[at] = f"new{r.randrange(99)}"
+            texts.append(" ".join(words) + (f" {line}" if k % 3 == 0 else ""))
+    rows = [*enumerate(texts), (900, ""), (901, None), (902, "Two words"), (903, "two  WORDS"), (None, texts[0])]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    alike = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    likeness = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(150) for b in range(a) if sets[a] & sets[b]]
+    assert sum(0.7 < x < 0.8 for x in likeness) > 5 and sum(0.8 <= x < 0.9 for x in likeness) > 5
+    want = brute_components(sets, [(a, b) for a in sets for b in sets if a < b and alike(a, b)])
+    monkeypatch.setattr(shingle_dedup, "SHARD", 500)
+    kept = shingle_dedup.keep_one(frame(spark, rows)).collect()
+    assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted(set(want.values())) and sum(x.doc_id is None for x in kept) == 1
+    assert shingle_dedup.keep_one(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_the_pipeline_compares_shingles_not_fingerprints(spark):
+    import corpus_pipeline
+
+    r = random.Random(32)
+    rows = []
+    for k in range(40):  # 196 shingles: 4 words lost leave 0.815, 5 leave 0.774
+        words = [f"w{r.randrange(10_000)}" for _ in range(200)]
+        copy = list(words)
+        for at in range(20, 20 + 30 * (4 + k % 2), 30):
+            copy[at] = "new"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "").collect()}
+    assert kept == {i for i in range(80) if i % 4 != 1}
