@@ -1,15 +1,18 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
-Words are hashed two by two along every text and joined to the positions of the
-same word pairs in license templates.  A hit at word p of a text and place q of
-a template votes for the diagonal p - q: a template that stands in the text word
-for word puts all its votes on one diagonal.  Diagonals at most ``SLACK`` apart
-merge, so that a few words put in or left out do not split a license; a merged
-group that covers enough of its template's pairs is a license.  Every vote is
-verified by its two words, so a base phrase counts exactly where its words stand.
+Words are hashed two by two along every text; the hashes that a template has are
+joined to its places.  A hit at word p of a text and place q of a template votes
+for the diagonal p - q: a template that stands in the text word for word puts all
+its votes on one diagonal.  Neighbouring diagonals, ``slack`` apart at most, are
+merged, so that a word or two put in or left out do not split a license.  The
+span that a merged group covers is verified by its words: a license is one whose
+template's words are at least ``cover`` of the span.  Every vote is verified by its
+two words, so a base phrase counts exactly where its words stand.
 
-The joined side is the template table, a constant of this module.  Counts of a
-row's words and the votes meet by (doc_id, hash of the text); texts don't move.
+The joined side is the template table, a constant of this module.  A text is read
+once: its number of words and the places of its hits are written to the
+checkpoint folder, and only they move.  Counts and votes of a row meet by
+(doc_id, hash of the text).
 
 Defined results for odd input: a null or empty text has no words and no labels
 (empty strings), score 0 and null places; rows with an equal doc_id are scanned
@@ -22,8 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from millrace.llm.components import cut_lineage
+
+#: What parts words: runs of ASCII other than letters and digits. One by one, they make a table that Java looks up by index.
+BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+#: The one sign beyond ASCII whose lower case is a lone ASCII letter, and a letter that has none and stands in for it.
+KELVIN, OTHER_LETTER = "\u212a", "\u0138"
 #: Phrases that count wherever they stand: (label, words). Fixed values.
 BASE = (
     ("cc-by", "cc by"),
@@ -44,60 +51,66 @@ TEMPLATES = (
 )
 #: Diagonals so far apart still merge.
 SLACK = 2
-#: Share of a template's pairs that a merged group must cover.
+#: Share of a span that the template's words must be.
 COVER = 0.8
 
 
 def template_pairs(spark: SparkSession) -> DataFrame:
-    """(template, label, base, pairs, place, hash, one, two) of every word pair of every template."""
+    """(template, label, base, words, place, hash, one, two) of every word pair of every template."""
     rows = []
     for n, (label, text) in enumerate(BASE + TEMPLATES):
         words = text.split()
-        rows += [(n, label, n < len(BASE), len(words) - 1, q, one, two) for q, (one, two) in enumerate(zip(words, words[1:], strict=False))]
-    made = spark.createDataFrame(rows, "template int, label string, base boolean, pairs int, place int, one string, two string")
+        rows += [(n, label, n < len(BASE), len(words), q, one, two) for q, (one, two) in enumerate(zip(words, words[1:], strict=False))]
+    made = spark.createDataFrame(rows, "template int, label string, base boolean, words int, place int, one string, two string")
     return made.withColumn("hash", F.xxhash64("one", "two"))
 
 
 def words_in(text: Column) -> Column:
-    """Words of a text with A-Z in lower case."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
+    """Words of a text with A-Z in lower case; ASCII words are exact, others may change case too."""
+    return F.split(F.lower(F.replace(text, F.lit(KELVIN), F.lit(OTHER_LETTER))), BETWEEN)
+
+
+def scan_words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, own, n_words, hits) of every row: the word pairs that templates have, with their places; one pass over the texts."""
+    pairs = {(one, two) for _, phrase in BASE + TEMPLATES for one, two in zip(phrase.split(), phrase.split()[1:], strict=False)}
+    known = [F.xxhash64(F.lit(one), F.lit(two)) for one, two in sorted(pairs)]
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    split = rows.select("key", F.xxhash64("text").alias("own"), words_in(F.col("text")).alias("w"))
+    # separators at either end leave an empty word there
+    first, last = (F.element_at("w", 1) == "").cast("int"), ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
+    counted = split.select("key", "own", "w", first.alias("skip"), (F.size("w") - first - last).cast("long").alias("n_words"))
+    tails = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    hashed = counted.select("*", F.zip_with("w", tails, lambda one, two: F.when(two.isNotNull(), F.xxhash64(one, two))).alias("h"))
+    placed = hashed.select("*", F.filter(F.transform("h", lambda x, i: F.when(x.isin(*known), i)), lambda i: i.isNotNull()).alias("at"))
+    hit = lambda i: F.struct((i - F.col("skip")).alias("p"), F.get("h", i).alias("hash"), F.get("w", i).alias("one"), F.get("w", i + 1).alias("two"))
+    return placed.select("key", "own", "n_words", F.transform("at", hit).alias("hits"))
 
 
 def scan_licenses(docs: DataFrame, slack: int = SLACK, cover: float = COVER, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = F.xxhash64("text").alias("own")
-    counts = rows.select("key", own, F.regexp_count(F.translate("text", UPPER, UPPER.lower()), F.lit(WORD)).cast("long").alias("n_words"))
-
-    worded = rows.select("key", own, words_in(F.col("text")).alias("w")).where(F.size("w") > 1)
-    pair = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda one, i: F.xxhash64(one, F.element_at("w", i + 2)))
-    hits = worded.select("key", "own", "w", F.posexplode(pair).alias("p", "hash"))
-    joined = hits.join(F.broadcast(template_pairs(spark)), "hash").where("w[p] = one and w[p + 1] = two")
-    votes = joined.select("key", "own", "template", "label", "base", "pairs", "place", "p", (F.col("p") - F.col("place")).alias("diagonal")).distinct()
-
-    # votes of each diagonal; then neighbouring diagonals merge
-    diagonal = votes.groupBy("key", "own", "template", "label", "base", "pairs", "diagonal").agg(F.collect_set("place").alias("places"))
-    line = Window.partitionBy("key", "own", "template").orderBy("diagonal")
-    fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= slack, 0).otherwise(1)
-    islands = diagonal.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(line))
-    merged = islands.groupBy("key", "own", "template", "label", "base", "pairs", "island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),
-        F.sum(F.when(F.size("places") == F.col("pairs"), 1).otherwise(0)).alias("whole"),
-        F.min(F.when(F.size("places") == F.col("pairs"), F.col("diagonal"))).alias("low"),
-        F.max(F.when(F.size("places") == F.col("pairs"), F.col("diagonal"))).alias("high"),
-    )
-    counted = F.col("base") & (F.col("whole") > 0)
-    share = F.col("covered") / F.col("pairs")
-    named = F.when(F.col("base"), F.col("whole") > 0).otherwise(share >= cover)
+    scanned = cut_lineage(scan_words(docs, key, text))
+    hits = scanned.select("key", "own", F.inline("hits"))
+    votes = hits.join(F.broadcast(template_pairs(docs.sparkSession)), ["hash", "one", "two"])
+
+    # votes of each diagonal, then of each with its neighbours: the span from its first word to its last
+    row = ["key", "own", "template", "label", "base", "words"]
+    diagonals = votes.groupBy(*row, (F.col("p") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
+    near = Window.partitionBy("key", "own", "template").orderBy("diagonal").rangeBetween(0, slack)
+    merged = diagonals.withColumn("span", F.flatten(F.collect_list("places").over(near)))
+    covered = F.size(F.array_distinct(F.concat("span", F.transform("span", lambda q: q + 1))))
+    length = F.col("words") + F.max("diagonal").over(near) - F.col("diagonal")  # of the span, with the words put in
+    merged = merged.withColumns({"share": covered / length, "whole": F.size("places") == F.col("words") - 1})
+    counted = F.col("base") & F.col("whole")
+    named = F.when(F.col("base"), F.col("whole")).otherwise(F.col("share") >= cover)
     found = merged.groupBy("key", "own").agg(
-        F.sum(F.when(counted, F.col("whole")).otherwise(0)).cast("long").alias("n_base"),
-        F.min(F.when(counted, F.col("low"))).cast("long").alias("first_word"),
-        F.max(F.when(counted, F.col("high"))).cast("long").alias("last_word"),
+        F.count_if(counted).alias("n_base"),
+        F.min(F.when(counted, F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(counted, F.col("diagonal"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(counted, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(named, F.col("label")))), ",").alias("labels"),
-        F.max(share).alias("score"),
+        F.max("share").alias("score"),
     )
+    counts = scanned.select("key", "own", "n_words")
     same = counts["key"].eqNullSafe(found["key"]) & (counts["own"] == found["own"])
     return counts.join(found, same, "left").select(
         counts["key"].alias(key), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",

@@ -35,36 +35,35 @@ OP2 = rf"""
 WITH phrases(template, label, base, phrase) AS (
   VALUES {PHRASES}
 ), pairs AS (
-  SELECT template, label, base, len(t) - 1 AS pairs, unnest(range(1, len(t))) AS q, t
+  SELECT template, label, base, len(t) AS words, unnest(range(1, len(t))) AS q, t
   FROM (SELECT *, string_split(phrase, ' ') AS t FROM phrases)
 ), words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), places AS (
   SELECT doc_id, p, w[p] AS one, w[p + 1] AS two FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM words)
 ), votes AS (
-  SELECT DISTINCT doc_id, template, label, base, pairs, q, p - q AS diagonal
+  SELECT DISTINCT doc_id, template, label, base, words, q, p - q AS diagonal
   FROM places JOIN pairs ON one = t[q] AND two = t[q + 1]
-), diagonals AS (
-  SELECT doc_id, template, label, base, pairs, diagonal, list(DISTINCT q) AS places
-  FROM votes GROUP BY doc_id, template, label, base, pairs, diagonal
-), marked AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS fresh
-  FROM diagonals
-), islands AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM marked
-), merged AS (
-  SELECT doc_id, template, label, base, pairs, island,
-         CAST(len(list_distinct(flatten(list(places)))) AS DOUBLE) / pairs AS share,
-         count(*) FILTER (WHERE len(places) = pairs) AS whole,
-         min(diagonal) FILTER (WHERE len(places) = pairs) AS low, max(diagonal) FILTER (WHERE len(places) = pairs) AS high
-  FROM islands GROUP BY doc_id, template, label, base, pairs, island
+), covered AS (
+  SELECT d.doc_id, d.template, d.diagonal, v.q + e AS word, v.diagonal - d.diagonal AS more
+  FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes) d
+  JOIN votes v ON v.doc_id = d.doc_id AND v.template = d.template AND v.diagonal BETWEEN d.diagonal AND d.diagonal + {SLACK}
+  CROSS JOIN (VALUES (0), (1)) ends(e)
+), shares AS (
+  SELECT doc_id, template, label, base, diagonal, count(DISTINCT word) / CAST(any_value(p.words) + max(more) AS DOUBLE) AS share
+  FROM covered JOIN (SELECT DISTINCT template, label, base, words FROM pairs) p USING (template) GROUP BY doc_id, template, label, base, diagonal
+), phrases_found AS (
+  SELECT label, doc_id, i - 1 AS word
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) JOIN phrases ON base AND list_slice(w, i, i + len(string_split(phrase, ' ')) - 1) = string_split(phrase, ' ')
+), base_found AS (
+  SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels
+  FROM phrases_found GROUP BY doc_id
 ), found AS (
-  SELECT doc_id, sum(whole) FILTER (WHERE base) AS n_base,
-         min(low) FILTER (WHERE base) AS first_word, max(high) FILTER (WHERE base) AS last_word,
-         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base AND whole > 0)), ',') AS base_labels,
-         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE CASE WHEN base THEN whole > 0 ELSE share >= {COVER} END)), ',') AS labels,
-         max(share) AS score
-  FROM merged GROUP BY doc_id
+  SELECT doc_id, n_base, first_word, last_word, base_labels, score, labels FROM (
+    SELECT doc_id, max(share) AS score,
+           array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE CASE WHEN base THEN label IN (SELECT label FROM phrases_found f WHERE f.doc_id = s.doc_id) ELSE share >= {COVER} END)), ',') AS labels
+    FROM shares s GROUP BY doc_id
+  ) LEFT JOIN base_found USING (doc_id)
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
