@@ -2,23 +2,32 @@
 
 Windows over whole texts outnumber documents by a factor of thousands, so the
 substring operators do not ship one row per window.  Documents are cut into
-*blocks*: contiguous doc_id ranges of a few MB.  A block sends one binary
-payload of sorted hashes per bucket, the bucket answers each block, and the
-block - regrouped over the same exchange - applies the answers to its texts.
-A value that is hot in the corpus occurs at most once per block in a payload,
-so no key gathers more rows than there are blocks.
+*blocks*: contiguous ranges of (doc_id, hash of the text) of a few MB.  A block
+sends one binary payload of sorted hashes per bucket, the bucket answers each
+block, and the block - regrouped over the same exchange - applies the answers to
+its texts.  A value that is hot in the corpus occurs at most once per block in a
+payload, so no key gathers more rows than there are blocks.
+
+Where blocks begin is measured, not guessed: (doc_id, hash, bytes) of every row
+are sorted over the cluster and the bytes added up, so that ids with gaps, one
+hot id or no ids at all make blocks of like size.  Only rows alike in id and
+text can't be parted.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.llm.components import cut_lineage
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -171,52 +180,100 @@ def unpack(payload: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def corpus_shape(docs: DataFrame, key: str = "doc_id", text: str = "text", knots: int = 257) -> dict:
-    """Rows, bytes and key quantiles of the corpus, in one aggregation over it.
-
-    The quantiles are a fixed number of values however large the corpus is.
-    """
-    row = docs.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"),
-        F.percentile_approx(F.col(key).cast("double"), [i / (knots - 1) for i in range(knots)], 20_000).alias("at"),
-    ).first()
-    return {"rows": int(row["rows"]), "bytes": int(row["bytes"]), "at": sorted(set(row["at"] or [0.0]))}
-
-
-def block_column(key: str, shape: dict, block_bytes: int) -> tuple[Column, int]:
-    """A block number that never falls as the key rises, and the number of blocks.
-
-    Between two quantiles the blocks divide the key range evenly.  Equal keys
-    share a block; null keys come last, in a block of their own.
-    """
-    blocks = max(1, math.ceil(shape["bytes"] / block_bytes))
-    at = shape["at"]
-    keep = min(len(at), blocks + 1)
-    at = sorted({at[round(i * (len(at) - 1) / max(1, keep - 1))] for i in range(keep)})
-    inner = max(1, math.ceil(blocks / max(1, len(at) - 1)))
-    x = F.col(key).cast("double")
-    marks = F.array(*[F.lit(float(v)) for v in at[1:-1]]) if len(at) > 2 else F.array().cast("array<double>")
-    slot = F.size(F.filter(marks, lambda m: m <= x)).cast("long")
-    lows = F.array(*[F.lit(float(v)) for v in at[: max(1, len(at) - 1)]])
-    widths = F.array(*[F.lit(max(float(b - a), 1e-9)) for a, b in zip(at, at[1:] or [at[0] + 1], strict=False)])
-    low, width = F.element_at(lows, (slot + 1).cast("int")), F.element_at(widths, (slot + 1).cast("int"))
-    part = F.least(F.lit(inner - 1), F.greatest(F.lit(0), F.floor((x - low) / width * inner)))
-    total = max(1, len(at) - 1) * inner
-    return F.when(x.isNull(), F.lit(total)).otherwise(slot * inner + part).cast("long"), total + 1
-
-
-def ordered_blocks(docs: DataFrame, shape: dict, block_bytes: int, key: str = "doc_id", text: str = "text", more: tuple = ()) -> tuple[DataFrame, int, int]:
-    """(block, key, text, *more) dealt out by block; the number of blocks; the number of partitions."""
-    block, n = block_column(key, shape, block_bytes)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 2))
-    dealt = docs.select(block.alias("block"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *more)
-    return dealt.repartition(parts, "block"), n, parts
+#: Blocks that a corpus is cut into at most; beyond it, blocks grow. The driver and every task hold 16 bytes for each.
+MOST_BLOCKS = 1 << 20
+#: Bytes that a row counts besides its text.
+ROW_BYTES = 64
+
+
+def place_names(key: pa.Array, mark: pa.Array) -> np.ndarray:
+    """(key, hash) as 17 bytes that sort like them, null keys last."""
+    missing = pc.is_null(key)
+    parts = (pc.fill_null(key, 0).to_numpy(zero_copy_only=False), mark.to_numpy(zero_copy_only=False))
+    big = [(x.astype(np.int64).view(U64) ^ U64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8) for x in parts]
+    big[0] = np.where(missing.to_numpy(zero_copy_only=False)[:, None], np.uint8(0), big[0])
+    return np.concatenate([missing.to_numpy(zero_copy_only=False).astype(np.uint8)[:, None] + np.uint8(1), *big], axis=1).view("V17").ravel()
+
+
+def sorted_places(names: np.ndarray) -> np.ndarray:
+    """As strings that numpy can search; a closing 1 keeps zero bytes at the end."""
+    raw = np.ones((len(names), 18), np.uint8)
+    raw[:, :17] = names.view(np.uint8).reshape(-1, 17)
+    return raw.view("S18").ravel()
+
+
+def corpus_shape(docs: DataFrame, block_bytes: int, key: str = "doc_id", text: str = "text") -> dict:
+    """Rows and bytes of the corpus, the place (key, hash of the text, bytes) of every row, and the first place of each block of some ``block_bytes``."""
+    place = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("mark"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n"))
+    light = cut_lineage(place)
+    row = light.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    total = int(row["bytes"]) + ROW_BYTES * int(row["rows"])
+    size = max(block_bytes, math.ceil(total / MOST_BLOCKS))
+    order = [F.col("key").asc_nulls_last(), F.col("mark")]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First place and bytes of each run of some half a block; the driver joins runs to blocks."""
+        total, label, last, found, offsets = 0, -1, None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, n = place_names(batch.column(0), batch.column(1)), batch.column(2).to_numpy() + ROW_BYTES
+            ends = total + np.cumsum(n)
+            labels = (ends - n) // max(1, size // 2)
+            new = labels != np.r_[label, labels[:-1]]
+            new[1:] &= names[1:] != names[:-1]
+            new[0] &= names[0].tobytes() != last
+            at = np.flatnonzero(new)
+            found += [names[k].tobytes() for k in at.tolist()]
+            offsets.append((ends - n)[at])
+            total, label, last = int(ends[-1]), labels[-1], names[-1].tobytes()
+        sizes = np.diff(np.r_[np.concatenate(offsets), total]) if found else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], ["name", "n"])
+
+    parts = min(max(1, math.ceil(total / size)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    measured = light.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(begin, "name binary, n long").toArrow()
+    runs = sorted(zip(measured.column("name").to_pylist(), measured.column("n").to_pylist(), strict=True))
+    begins, held = [], size
+    for name, n in runs:
+        if held + n > size:
+            begins.append(name)
+            held = 0
+        held += n
+    return {"rows": int(row["rows"]), "bytes": int(row["bytes"]), "begins": np.frombuffer(b"".join(begins), "V17"), "places": light}
+
+
+def in_blocks(rows: DataFrame, shape: dict) -> DataFrame:
+    """``rows``, whose first columns are key and mark (the text's hash), with their block in front; blocks rise with (key, mark)."""
+    begins = sorted_places(shape["begins"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(begins, sorted_places(place_names(batch.column(0), batch.column(1))), side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(at, 0), pa.int64()), *batch.columns], ["block", *batch.schema.names])
+
+    return rows.mapInArrow(find, T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields]))
+
+
+def placed(docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple = ()) -> DataFrame:
+    """(key, mark, text, *more) of every row."""
+    mark = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.select(F.col(key).cast("long").alias("key"), mark.alias("mark"), F.col(text).cast("string").alias("text"), *more)
+
+
+def block_parts(docs: DataFrame, shape: dict) -> int:
+    """Partitions that blocks are dealt to, two or so to each."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(len(shape["begins"]) / 2))
+
+
+def ordered_blocks(docs: DataFrame, shape: dict, key: str = "doc_id", text: str = "text", more: tuple = ()) -> tuple[DataFrame, int]:
+    """(block, key, mark, text, *more) dealt out by block, and the number of partitions."""
+    parts = block_parts(docs, shape)
+    return in_blocks(placed(docs, key, text, more), shape).repartition(parts, "block"), parts
 
 
 def sort_block(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """A block's rows by key, then text; and each row's dense rank by key (nulls last)."""
-    table = table.sort_by([("key", "ascending"), ("text", "ascending")])
+    """A block's rows by key, hash and text; and each row's dense rank by key (nulls last)."""
+    table = table.sort_by([("key", "ascending"), ("mark", "ascending"), ("text", "ascending")])
     key = table.column("key")
     missing = np.asarray(pc.is_null(key).combine_chunks().to_numpy(zero_copy_only=False))
     values = pc.fill_null(key, 0).to_numpy()

@@ -8,8 +8,8 @@ intervals, which are cut out of the texts.
 
 Defined results for odd input: a null or empty text has no words and hashes as
 the empty string; documents shorter than a window lose nothing; rows with an
-equal doc_id count as one document, in the order of their texts; a null doc_id
-comes after all others; other columns are ignored; an empty table gives an
+equal doc_id count as one document, in the order of their texts' hashes, and so
+do those without one, after all others; other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -83,9 +83,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, block_bytes:
     A word goes if a window that covers it has a word sequence that also starts
     earlier: in a document with a smaller key, or before it in the same one.
     """
-    shape = P.corpus_shape(docs, key, text)
+    shape = P.corpus_shape(docs, block_bytes, key, text)
     row = F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row")
-    blocks, _, parts = P.ordered_blocks(docs, shape, block_bytes, key, text, (row,) if carry else ())
+    blocks, parts = P.ordered_blocks(docs, shape, key, text, (row,) if carry else ())
     # about one hash a word, some 6 bytes of text; payloads of a bucket stay near 4 MB
     bits = max(0, int(np.ceil(np.log2(max(1, shape["bytes"] / 6 * 8 / (4 << 20))))))
 

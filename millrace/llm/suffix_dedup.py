@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from millrace.llm import packed as P
@@ -39,6 +40,8 @@ BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20
 PIECE = 32
 BATCH_BYTES = 256 << 10
+#: Owner of the rows without a doc_id: they come after all others.
+NOBODY = (1 << 63) - 1
 SENT = "bucket long, block long, payload binary"
 CUT = "bucket long, block long, known boolean, payload binary"
 
@@ -131,8 +134,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> t
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, wide_seed: int = WIDE_SEED, batch_bytes: int = BATCH_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     seed = min(SEED, length)
-    shape = P.corpus_shape(docs, key, text)
-    blocks, n_blocks, parts = P.ordered_blocks(docs, shape, block_bytes, key, text)
+    shape = P.corpus_shape(docs, block_bytes, key, text)
+    blocks, parts = P.ordered_blocks(docs, shape, key, text)
     # about one seed in 14 bytes; payloads of a bucket stay near 2 MB
     bits = max(0, int(np.ceil(np.log2(max(1, shape["bytes"] / 14 * 8 / (2 << 20))))))
     # segments are some 5 times the text; shards stay below 16 MB of it
@@ -173,6 +176,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         _, rank, _, _ = ranked(m)
         codes = np.concatenate([np.frombuffer(p, np.uint8) for p in answers.sort_by("bucket").column("payload").to_pylist()]) if answers.num_rows else np.empty(0, np.uint8)
         doc = rank_of_key[row]
+        owners = pc.fill_null(table.column("key"), NOBODY).to_numpy()
         low, high = np.full(len(codes), 1 << 62), np.full(len(codes), -1)
         np.minimum.at(low, rank, doc)
         np.maximum.at(high, rank, doc)
@@ -192,9 +196,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         for pick, dealt in ((~later & ~wide, False), (~later & wide, True)):
             if not pick.any():
                 continue
-            a, s, d, r = at[pick], size[pick], doc[pick], row[pick]
+            a, s, r = at[pick], size[pick], row[pick]
             if dealt:  # one by one, by whole strings
-                a, d, r, s = P.expand(a, s), np.repeat(d, s), np.repeat(r, s), np.ones(int(s.sum()), np.int64)
+                a, r, s = P.expand(a, s), np.repeat(r, s), np.ones(int(s.sum()), np.int64)
                 name = P.slice_hashes(data, a, a + length)
             else:
                 name = P.mix(m[pick], 5)
@@ -202,7 +206,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
             order = np.argsort(shard, kind="stable")
             for value, i, j in P.split_sorted(shard[order]):
                 o = order[i:j]
-                out.append((value, False, P.pack((name[o] >> P.U64(32)).astype(np.uint32), (r[o] - d[o]).astype(np.int32), r[o].astype(np.int32), (a[o] - offsets[r[o]]).astype(np.int32), s[o].astype(np.uint8), squeezed(data[P.expand(a[o], s[o] + length - 1)]))))
+                rows, nth = np.unique(r[o], return_inverse=True)
+                out.append((value, False, P.pack((name[o] >> P.U64(32)).astype(np.uint32), nth.astype(np.int32), rows.astype(np.int32), owners[rows], (a[o] - offsets[r[o]]).astype(np.int32), s[o].astype(np.uint8), squeezed(data[P.expand(a[o], s[o] + length - 1)]))))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([block] * len(out), pa.int64()), "known": pa.array([x[1] for x in out], pa.bool_()), "payload": pa.array([x[2] for x in out], pa.binary())})
 
     def scan(group_key: tuple, table: pa.Table) -> pa.Table:
@@ -236,12 +241,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
                 r, a, n = P.unpack(payload, np.int32, np.int32, np.int32)
                 found.append(np.stack([np.full(len(r), block), r, a, n]).astype(np.int64))
                 continue
-            name, spare, r, a, s, raw = P.unpack(payload, np.uint32, np.int32, np.int32, np.int32, np.uint8, np.uint8)
+            name, nth, rows, owner_of, a, s, raw = P.unpack(payload, np.uint32, np.int32, np.int32, np.int64, np.int32, np.uint8, np.uint8)
+            r = rows[nth]
             ends = np.cumsum(s.astype(np.int64) + length - 1).tolist()
             blob, begin, gone = pa.decompress(raw.tobytes(), ends[-1], "zstd", asbytes=True), 0, []
-            for i, (end, doc, name_) in enumerate(zip(ends, (r - spare).tolist(), name.tolist(), strict=True)):
+            for i, (end, owner, name_) in enumerate(zip(ends, owner_of[nth].tolist(), name.tolist(), strict=True)):
                 segment, begin = blob[begin:end], end
-                owner = (block << 32) | doc
                 had, other = first.setdefault(segment, owner), lone.get(name_)
                 if had < owner:
                     gone.append(i)
