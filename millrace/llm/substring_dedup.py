@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from millrace.llm import packed as P
 
 WINDOW = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SENT = "bucket long, block long, payload binary"
 
 
