@@ -1,4 +1,4 @@
-"""Training rows for the classifiers: a bounded sample of labelled documents and of plain ones."""
+"""Training rows for the classifiers: a bounded sample of labelled documents."""
 
 from __future__ import annotations
 
@@ -11,20 +11,16 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int, plain: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, label, text): some ``bound`` labelled rows and ``plain`` rows with a null label, none of them held out.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int, key: str | None = None, text: str = "text") -> DataFrame:
+    """(key, label, text): some ``bound`` rows with a label, none of them held out.
 
     Rows are chosen by a hash of the key, so reruns agree.  The labelled side is
     bounded by ``bound`` and joined by broadcast; texts don't move.
     """
+    key = key or ("key" if "key" in docs.columns and "doc_id" not in docs.columns else "doc_id")
     free = lambda c: F.coalesce(remainder(c, modulus) != held, F.lit(False))
-    known = labels.where(F.col(label).isNotNull() & free(F.col(key))).groupBy(F.col(key).cast("long").alias("_key")).agg(F.max(label).cast("int").alias("_label"))
+    known = labels.where(F.col(label).isNotNull() & free(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     n = max(1, known.count())
     known = known.where(F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(n)) < bound)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where(free(F.col("key")))
-    if not plain:
-        return rows.join(F.broadcast(known), F.col("key") == F.col("_key")).select("key", F.col("_label").alias("label"), "text")
-    total = max(1, docs.count())
-    chosen = F.pmod(F.xxhash64("key", F.lit(23)), F.lit(total)) < plain
-    joined = rows.join(F.broadcast(known), F.col("key") == F.col("_key"), "left").withColumn("chosen", chosen)
-    return joined.where("_label is not null or chosen").select("key", F.col("_label").alias("label"), "chosen", "text")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias(text)).where(free(F.col("key")))
+    return rows.join(F.broadcast(known), F.col("key") == F.col("_key")).select("key", F.col("_label").alias("label"), text)

@@ -1,14 +1,22 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives (label 1), unlabelled text of the corpus and an estimate of
-the share of positives give the non-negative unbiased risk: the positives' loss,
-plus the loss of unlabelled text as negative less the part that its positives
-must have - never below zero.  A small network over text statistics minimises
-it; a logistic scale, fitted on the training labels, makes its output a
-probability.
-
-``fit`` reads a sample bounded by ``bound`` labelled and ``bound`` plain rows;
-scoring covers every whole text in one pass without a shuffle.
+Trusted positives (label 1), the unlabelled text of the corpus and an estimate of
+the share of positives in it give the non-negative unbiased risk: the positives'
+loss, plus the loss of unlabelled text as negative less the part that its
+positives must have - never below zero.  A small network over text statistics
+minimises it.  No label 0 is ever read.
+
+The unlabelled side is all documents: their statistics are counted into at most
+``CELLS`` cells (signs of random projections), and in the risk up to ``DRAWN`` rows
+of each cell stand for all of its rows.  The prior is the smallest ratio, over the
+scores' thresholds, of the unlabelled rows above to the positives above: where
+only positives score high, the ratio is their share.  The network's output becomes
+a probability by the slope and shift that minimise the unbiased logistic risk of
+the positives and the unlabelled.  For both, the scores of all documents are
+counted in bins.
+
+``fit`` reads a sample bounded by ``bound`` labelled rows; everything else covers
+every whole text.  Scoring is one pass without a shuffle.
 
 Defined results for odd input: a null or empty text is scored from zero
 statistics; rows with an equal doc_id are scored each for itself; a null doc_id
@@ -18,18 +26,26 @@ ignored (and kept by ``keep_good``); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import packed as P
+from millrace.llm.components import cut_lineage
 from millrace.llm.labelled import remainder, training_rows
 
-#: Labelled and plain rows that a fit reads at most (but for the spread of a hash).
+#: Labelled rows that a fit reads at most (but for the spread of a hash).
 BOUND = 12_000
+#: Projections whose signs name a cell of unlabelled rows, and the cells.
+PLANES = 11
+CELLS = 1 << PLANES
+#: Rows that stand for a cell, and bins of scores.
+DRAWN, BINS = 4, 512
+#: Chance that the prior's bound is too low, and the share of the positives that a threshold must keep to count.
+DOUBT, LEAST_KEPT = 0.05, 0.02
 THRESHOLD = 0.3
 MODULUS, HELD = 5, 0
 HIDDEN = 16
@@ -102,26 +118,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_risk(positive: np.ndarray, plain: np.ndarray, prior: float, steps: int = STEPS, seed: int = 7) -> dict:
-    """Weights that minimise the non-negative risk with the sigmoid loss, by Adam."""
+def fit_risk(positive: np.ndarray, plain: np.ndarray, prior: float, weight: np.ndarray | None = None, steps: int = STEPS, seed: int = 7) -> dict:
+    """Weights that minimise the non-negative risk with the sigmoid loss, by Adam; ``weight`` counts the rows that each plain row stands for."""
     rng = np.random.default_rng(seed)
     k = positive.shape[1]
     w = {"a": rng.normal(0, 1 / np.sqrt(k), (k, HIDDEN)), "b": np.zeros(HIDDEN), "c": rng.normal(0, 0.3, HIDDEN), "e": np.zeros(k), "d": np.zeros(())}
     first, second = ({n: np.zeros_like(v) for n, v in w.items()} for _ in range(2))
     x = np.r_[positive, plain]
     n = len(positive)
+    share = np.full(len(plain), 1 / len(plain)) if weight is None else weight / weight.sum()
     for step in range(1, steps + 1):
         hidden, g = forward(x, w)
         s = sigmoid(g)
         slope = s * (1 - s)  # loss as positive: 1 - s; as negative: s
-        rest = s[n:].mean() - prior * s[:n].mean()
+        rest = share @ s[n:] - prior * s[:n].mean()
         grad = np.zeros(len(x))
         if rest >= 0:
             grad[:n] = -prior * slope[:n] * 2 / n
-            grad[n:] = slope[n:] / (len(x) - n)
+            grad[n:] = slope[n:] * share
         else:  # the negative part fell below zero: step back on it
             grad[:n] = prior * slope[:n] / n
-            grad[n:] = -slope[n:] / (len(x) - n)
+            grad[n:] = -slope[n:] * share
         back = np.outer(grad, w["c"]) * (1 - hidden**2)
         d = {"a": x.T @ back, "b": back.sum(0), "c": hidden.T @ grad, "e": x.T @ grad, "d": grad.sum()}
         for name in w:
@@ -132,6 +149,44 @@ def fit_risk(positive: np.ndarray, plain: np.ndarray, prior: float, steps: int =
     return w
 
 
+def prior_of(positive: np.ndarray, plain: np.ndarray, weight: np.ndarray) -> float:
+    """Share of positives among the plain rows, from scores of both: the least ratio of rows above a threshold.
+
+    A threshold's ratio counts with a margin for the chance in it, so that few rows don't decide.
+    """
+    at = np.unique(positive)
+    kept = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    order = np.argsort(plain, kind="stable")
+    tail = np.r_[np.cumsum(weight[order][::-1])[::-1], 0.0] / weight.sum()
+    above = tail[np.searchsorted(plain[order], at)]
+    margin = np.sqrt(np.log(2 / DOUBT) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(weight.sum()))
+    sure = kept >= max(LEAST_KEPT, 1 / len(positive))
+    best = int(np.argmin(np.where(sure, (above + margin) / np.maximum(kept, 1e-12), np.inf)))
+    return float(np.clip(above[best] / kept[best], 0.01, 0.99))
+
+
+def fit_posterior(positive: np.ndarray, plain: np.ndarray, weight: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift that make raw scores log odds: they minimise the unbiased logistic risk, which is convex."""
+    share = weight / weight.sum()
+    middle, wide = float(share @ plain), float(np.sqrt(share @ (plain - share @ plain) ** 2)) + 1e-9
+    z = np.stack([(plain - middle) / wide, np.ones(len(plain))], axis=1)
+    pull = prior * np.array([((positive - middle) / wide).mean(), 1.0])
+    ridge = np.diag([1e-3, 1e-6])
+    loss = lambda t: float(share @ np.logaddexp(0, z @ t) - pull @ t + 0.5 * t @ ridge @ t)
+    t, damp = np.zeros(2), 1e-3
+    for _ in range(200):
+        p = sigmoid(z @ t)
+        curve = (z * (share * p * (1 - p))[:, None]).T @ z + ridge
+        move = np.linalg.solve(curve + damp * np.eye(2), z.T @ (share * p) - pull + ridge @ t)
+        if loss(t - move) <= loss(t):
+            t, damp = t - move, damp / 3
+            if np.abs(move).max() < 1e-8:
+                break
+        else:
+            damp *= 10
+    return float(t[0] / wide), float(t[1] - t[0] * middle / wide)
+
+
 def fit_scale(g: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic slope and shift of g for labels y: smoothed targets, damped Newton steps on a standard scale."""
     middle, wide = float(g.mean()), float(g.std()) + 1e-9
@@ -157,18 +212,21 @@ class Model:
     """A fitted classifier: scores texts given as bytes and offsets."""
 
     def __init__(self, mean=None, spread=None, weights=None, scale=(1.0, 0.0)):
-        self.mean, self.spread, self.weights, self.scale = mean, spread, weights, scale
+        self.mean, self.spread, self.weights, self.scale, self.prior = mean, spread, weights, scale, None
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return forward(np.clip((x - self.mean) / self.spread, -6, 6), self.weights)[1]
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return self.score_statistics(features(data, offsets).astype(np.float32).astype(float))
+
+    def score_statistics(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
-            return np.full(len(offsets) - 1, 0.5)
-        return sigmoid(self.scale[0] * self.raw(features(data, offsets)) + self.scale[1])
+            return np.full(len(x), 0.5)
+        return sigmoid(self.scale[0] * self.raw(x) + self.scale[1])
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows of a batch in runs of at most some ``most`` bytes of text: from, to, bytes, offsets."""
     data, offsets = P.text_buffer(batch.column(column))
     a = 0
@@ -179,36 +237,114 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         a = b
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus: int = MODULUS, held: int = HELD) -> Model:
-    """A model from at most some ``bound`` labelled and ``bound`` plain rows, none held out."""
-    rows = training_rows(docs, labels, "quality", modulus, held, bound, bound)
-    width = N_CLASSES + 9
+WIDTH = N_CLASSES + 9
+COUNTED = "key long, x array<float>"
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """(key, x) of every document: its statistics, written to the checkpoint folder; one pass over the texts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), as_lists(features(data, offsets).astype(np.float32))], ["key", "x"])
+
+    return cut_lineage(docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(each, COUNTED))
+
+
+def as_lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+
+
+def as_rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH).astype(float)
+
+
+def sums_of(counted: DataFrame, name: Callable[[np.ndarray], np.ndarray], seen: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and sums of ``seen`` of all rows by their ``name``, a small number."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for a, b, data, offsets in pieces(batch, 3):
-                x = features(data, offsets)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, width), pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), flat], ["key", "label", "chosen", "x"])
+            x = as_rows(batch.column(0))
+            cell, values = name(x), np.c_[np.ones(len(x)), seen(x)]
+            for c in np.unique(cell).tolist():
+                total[c] = total.get(c, 0.0) + values[cell == c].sum(0)
+        if total:
+            values = np.stack([*total.values()])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), flat], ["cell", "v"])
+
+    parts = counted.select("x").mapInArrow(each, "cell long, v array<double>").select("cell", F.posexplode("v").alias("at", "v"))
+    rows = parts.groupBy("cell", "at").agg(F.sum("v").alias("v")).toPandas().sort_values(["cell", "at"], kind="stable")
+    if rows.empty:
+        return np.zeros(0), np.zeros((0, WIDTH))
+    values = rows["v"].to_numpy().reshape(rows["cell"].nunique(), -1)
+    return values[:, 0], values[:, 1:]
+
+
+def drawn(counted: DataFrame, name: Callable[[np.ndarray], np.ndarray], most: int = DRAWN) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``most`` rows of each cell, by a hash, and how many rows of it each of them stands for."""
 
-    seen = rows.mapInArrow(each, "key long, label int, chosen boolean, x array<double>").toPandas().sort_values(["key", "label"], kind="stable")
-    if not (seen["label"] == 1).any():
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = np.zeros((0, WIDTH)), np.zeros(CELLS, np.int64)
+        cells, marks = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            x = as_rows(batch.column(0))
+            c = name(x)
+            np.add.at(count, c, 1)
+            key = P.mix(np.ascontiguousarray(x.astype(np.float32)).view(np.uint32).astype(np.uint64) @ (np.arange(1, WIDTH + 1, dtype=np.uint64) * P.U64(P.BASE)), 9)
+            held, cells, marks = np.r_[held, x], np.r_[cells, c], np.r_[marks, key]
+            order = np.lexsort((marks, cells))
+            nth = np.arange(len(order)) - np.searchsorted(cells[order], cells[order])
+            keep = order[nth < most]
+            held, cells, marks = held[keep], cells[keep], marks[keep]
+        if len(cells):
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(marks.view(np.int64)), as_lists(held.astype(np.float32)), pa.array(np.where(np.r_[True, cells[1:] != cells[:-1]], count[cells], 0))], ["cell", "mark", "x", "n"])
+
+    parts = cut_lineage(counted.select("x").mapInArrow(each, "cell long, mark long, x array<float>, n long"))
+    sizes = parts.groupBy("cell").agg(F.sum("n").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy("mark"))
+    rows = parts.select("cell", "mark", "x", nth.alias("nth")).where(F.col("nth") <= most).join(sizes, "cell").toPandas().sort_values(["cell", "nth"], kind="stable")
+    share = rows["n"] / rows.groupby("cell")["nth"].transform("max")
+    return np.stack(rows["x"].to_list()).astype(float), share.to_numpy(float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus: int = MODULUS, held: int = HELD, counted: DataFrame | None = None) -> Model:
+    """A model from at most some ``bound`` labelled rows, none held out, and all documents as unlabelled ones."""
+    counted = statistics(docs) if counted is None else counted
+    rows = training_rows(counted, labels.where("quality = 1"), "quality", modulus, held, bound, text="x")
+    positive = rows.select("key", "x").toPandas().sort_values("key", kind="stable")
+    n, sums = sums_of(counted, lambda x: np.zeros(len(x), np.int64), lambda x: np.c_[x, x * x])
+    if not len(positive) or not n.sum():
         return Model()
-    x = np.stack(seen["x"].to_list())
-    label = seen["label"].to_numpy(dtype=float)
-    plain = x[seen["chosen"].to_numpy(dtype=bool)]
-    known = ~np.isnan(label)
-    prior = float(label[known].mean())  # the estimate: the labels' own rate
-    if not len(plain):
-        plain = x[known]
-    model = Model(plain.mean(0), plain.std(0) + 1e-3)
+    mean, square = np.split(sums[0] / n[0], 2)
+    model = Model(mean, np.sqrt(np.maximum(0, square - mean**2)) + 1e-3)
     norm = lambda v: np.clip((v - model.mean) / model.spread, -6, 6)
-    model.weights = fit_risk(norm(x[label == 1]), norm(plain), min(prior, 0.99))
-    if (label == 0).any():
-        model.scale = fit_scale(model.raw(x[known]), label[known])
+    planes = np.random.default_rng(11).normal(size=(WIDTH + 1, PLANES))
+    cell = lambda x: (np.c_[norm(x), np.ones(len(x))] @ planes >= 0) @ (1 << np.arange(PLANES))
+    plain, weight = drawn(counted, cell)
+    plain, good = norm(plain), norm(np.stack(positive["x"].to_list()).astype(float))
+
+    def scores(weights: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Raw scores of the positives; and those of all documents, as the means and sizes of bins."""
+        raw = lambda x: forward(norm(x), weights)[1]
+        own = forward(good, weights)[1]
+        cuts = np.unique(np.quantile(np.r_[own, forward(plain, weights)[1]], np.linspace(0, 1, BINS)))
+        size, total = sums_of(counted, lambda x: np.searchsorted(cuts, raw(x)), lambda x: raw(x)[:, None])
+        return own, total[:, 0] / size, size
+
+    # a first network, at even odds, ranks the rows for the prior; the second is fitted with it
+    prior = prior_of(*scores(fit_risk(good, plain, 0.5, weight)))
+    model.prior, model.weights = prior, fit_risk(good, plain, prior, weight)
+    model.scale = fit_posterior(*scores(model.weights), prior)
     return model
 
 
+def scored(keys: DataFrame, threshold: float, modulus: int, held: int) -> DataFrame:
+    return keys.select("doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, modulus: int = MODULUS, held: int = HELD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
 
@@ -217,8 +353,19 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
             score = np.concatenate([model.score(data, offsets) for _, _, data, offsets in pieces(batch, 1)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, score double"), threshold, modulus, held)
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, modulus: int = MODULUS, held: int = HELD) -> DataFrame:
+    """``score_documents`` by a model fitted on the same documents, whose statistics are counted once."""
+    counted = statistics(docs)
+    model = fit(docs, labels, modulus=modulus, held=held, counted=counted)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score_statistics(as_rows(batch.column(1))))], ["doc_id", "score"])
+
+    return scored(counted.mapInArrow(each, "doc_id long, score double"), threshold, modulus, held)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
