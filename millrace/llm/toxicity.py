@@ -1,14 +1,18 @@
 """Toxicity behind disguise: noisy-channel deobfuscation, then a lexicon's score.
 
-Tokens that may be disguised - digits or marks among letters, letters drawn
-out, letters spelled one by one - become character lattices: every symbol may be
-itself or a letter that it stands for, a mark may vanish, a drawn-out letter may
-shrink.  A Viterbi beam finds the likeliest spellings under a character trigram
-model times the channel's costs.  The model is counted over the letters of all
-documents.  Words of the restored text, and their beginnings, are looked up in a
-lexicon learned from the training labels: the features of the highest likelihood
-ratio that explain toxic rows which the ones before leave unexplained.  A text's
-score is the fitted logistic of its features' log odds.
+Tokens that may be disguised - digits or marks among letters, letters drawn out -
+and runs of very short tokens become character lattices: a symbol may be itself or
+a letter that it stands for, a mark may vanish, a repeated symbol may shrink, the
+space between two short tokens may vanish or stay.  ``decode`` finds the likeliest
+reading exactly, by Viterbi over positions and the last two letters, under a
+character trigram model times the channel's costs; its time is linear in the
+token.  The model is counted over the letters of all documents, mixed with the
+letters of the lexicon's words.
+
+Words of the restored text (as they stand and as decoded), and their beginnings,
+are looked up in a lexicon learned from the training labels: the features of the
+highest likelihood ratio that explain toxic rows which the ones before leave
+unexplained.  A text's score is the fitted logistic of its features' log odds.
 
 ``fit`` reads a sample bounded by ``bound`` labelled rows; the character counts
 and the scores cover every whole text.
@@ -31,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.components import cut_lineage
 from millrace.llm.labelled import remainder, training_rows
 from millrace.llm.quality import fit_scale, sigmoid
 
@@ -42,10 +47,12 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "{": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
-#: Channel costs in nats: a symbol for a letter, a mark put in, a letter drawn out.
-SUBSTITUTE, INSERT, REPEAT = 1.0, 0.7, 0.5
-BEAM = 24
-BEST = 6
+#: Channel costs in nats: a symbol for a letter, a mark put in, a symbol put in that stands for letters, a symbol drawn out, a space put in.
+SUBSTITUTE, INSERT, INSERT_SIGN, REPEAT, SPACED = 1.0, 0.7, 5.0, 0.5, 0.7
+#: Share of the lexicon's words in the character model.
+OWN_WORDS = 0.3
+#: Decoded tokens up to this length are remembered.
+REMEMBERED = 64
 #: Words and word beginnings of these lengths are the lexicon's features.
 BEGINNINGS = (4, 5, 6, 7)
 #: A feature needs so many toxic rows; so many with the highest likelihood ratio enter the fit.
@@ -118,44 +125,69 @@ def suspicious(core: str) -> bool:
     return not core.isalpha() and any(c.isalpha() for c in core) or DRAWN_OUT.search(core) is not None
 
 
-def lattice(core: str) -> list[list[tuple[str, float]]]:
-    """For each symbol, the letters it may be ('' if it may vanish) and their costs."""
-    out = []
-    for i, c in enumerate(core):
-        arcs = [(c, 0.0)] if c.isalpha() else [("", INSERT)]
-        arcs += [(letter, SUBSTITUTE) for letter in STANDS_FOR.get(c, "")]
-        if i and c == core[i - 1] and c.isalpha():
-            arcs.append(("", REPEAT))
-        out.append(arcs)
-    return out
+def own_words(cost: np.ndarray, words: list[str], share: float = OWN_WORDS) -> np.ndarray:
+    """The model's costs, mixed with the trigrams of some words."""
+    counts = np.zeros(SYMBOLS**3)
+    for word in words:
+        s = np.r_[0, 0, symbols_of(word), 0].astype(np.int64)
+        np.add.at(counts, (s[:-2] << 12) | (s[1:-1] << 6) | s[2:], 1)
+    n3 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+    seen = n3.sum(2, keepdims=True)
+    return -np.log(np.where(seen > 0, (1 - share) * np.exp(-cost) + share * n3 / np.maximum(seen, 1), np.exp(-cost)))
 
 
-def decode(core: str, cost: np.ndarray, beam: int = BEAM, best: int = BEST) -> list[tuple[str, float]]:
-    """The likeliest spellings of a token and their costs, the best first."""
-    paths = {("", 0, 0): 0.0}
-    for arcs in lattice(core):
-        nxt: dict[tuple[str, int, int], float] = {}
-        for (word, a, b), total in paths.items():
-            for letter, extra in arcs:
-                if letter:
-                    s = int(symbols_of(letter)[0])
-                    state, value = (word + letter, b, s), total + extra + cost[a, b, s]
-                else:
-                    state, value = (word, a, b), total + extra
-                if value < nxt.get(state, math.inf):
-                    nxt[state] = value
-        keep = sorted(nxt.items(), key=lambda x: (x[1] / (len(x[0][0]) + 1), x[0][0]))[:beam]
-        paths = dict(keep)
-    ends = [(word, total + cost[a, b, 0]) for (word, a, b), total in paths.items()]
-    return sorted(ends, key=lambda x: (x[1] / (len(x[0]) + 1), x[0]))[:best]
+def arcs_of(c: str, before: str) -> list[tuple[int, str, float]]:
+    """What a symbol may be, after the symbol before it: model symbol, letter and cost; -1 if it vanishes."""
+    if c == " ":
+        return [(0, " ", 0.0), (-1, "", SPACED)]
+    arcs = [(int(symbols_of(c)[0]), c, 0.0)] if c.isalpha() else [(-1, "", INSERT_SIGN if c in STANDS_FOR else INSERT)]
+    arcs += [(int(symbols_of(x)[0]), x, SUBSTITUTE) for x in STANDS_FOR.get(c, "")]
+    if c == before:
+        arcs.append((-1, "", REPEAT))
+    return arcs
+
 
+def decode(token: str, cost: list[float]) -> tuple[str, float]:
+    """The likeliest reading of a token, or of tokens with blanks between, and its cost; ``cost`` is flat.
 
-SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
+    Viterbi: of all readings that end in the same two letters only the likeliest goes on.
+    """
+    known: dict[tuple[str, str], list[tuple[int, str, float]]] = {}
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    before = ""
+    for c in token:
+        arcs = known.get((c, before if c == before else ""))
+        if arcs is None:
+            arcs = known[c, before if c == before else ""] = arcs_of(c, before)
+        nxt: dict[int, tuple[float, tuple | None]] = {}
+        for state, (total, path) in states.items():
+            for symbol, letter, extra in arcs:
+                if symbol < 0:
+                    key, value, node = state, total + extra, path
+                elif symbol == 0 and not state & 63:  # a space after a space, or in front
+                    key, value, node = state, total + extra, path
+                else:
+                    key = (state & 63) << 6 | symbol
+                    value, node = total + extra + cost[state << 6 | symbol], (path, letter)
+                old = nxt.get(key)
+                if old is None or value < old[0]:
+                    nxt[key] = (value, node)
+        states, before = nxt, c
+    best, end = math.inf, None
+    for state, (total, path) in states.items():
+        total += cost[state << 6] if state & 63 else 0.0
+        if total < best:
+            best, end = total, path
+    out = []
+    while end is not None:
+        end, letter = end
+        out.append(letter)
+    return "".join(reversed(out)).strip(" "), best
 
 
-def join_spelled(text: str) -> str:
-    """Runs of three or more single characters between blanks, of one line, joined to a word."""
-    return SPELLED.sub(lambda m: re.sub(r"[ \t]+", "", m[0]), text)
+#: Three or more tokens of one or two characters on end, in one line.
+SPELLED = re.compile(r"(?<!\S)(?:\S{1,2}[ \t]+){2,}\S{1,2}(?!\S)")
+BLANKS = re.compile(r"[ \t]+")
 
 
 def word_features(word: str) -> list[str]:
@@ -166,73 +198,84 @@ def word_features(word: str) -> list[str]:
 class Model:
     """Character costs and the lexicon's weights; scores and restores texts."""
 
-    def __init__(self, cost: np.ndarray, features: list[str] | None = None, weights: np.ndarray | None = None, scale: tuple[float, float] = (1.0, 0.0)):
-        self.cost, self.features, self.scale = cost, list(features or []), scale
+    def __init__(self, cost: np.ndarray, features: list[str] | None = None, weights: np.ndarray | None = None, scale: tuple[float, float] = (1.0, 0.0), plain: bool = False):
+        self.cost, self.features, self.scale, self.plain = cost, list(features or []), scale, plain
         self.weights = np.zeros(len(self.features)) if weights is None else weights
         self.ready()
 
     def ready(self) -> None:
+        self.flat = self.cost.ravel().tolist()
         self.place = {f: i for i, f in enumerate(self.features)}
+        self.heads = {f[: BEGINNINGS[0]].removesuffix("^") for f in self.features}
         self.begins = {n: {f[:-1]: i for f, i in self.place.items() if f[-1:] == "^" and len(f) == n + 1} for n in BEGINNINGS}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # tokens and runs with features, and those without
+        self.idle: set[str] = set()
 
     def __getstate__(self) -> dict:
-        return {"cost": self.cost, "features": self.features, "weights": self.weights, "scale": self.scale}
+        return {k: v for k, v in self.__dict__.items() if k in ("cost", "features", "scale", "plain", "weights")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.ready()
 
     def look_up(self, word: str) -> tuple[int, ...]:
+        if word[: BEGINNINGS[0]] not in self.heads:
+            return ()
         found = [self.place[word]] if word in self.place else []
         for n, begins in self.begins.items():
             if len(word) > n and word[:n] in begins:
                 found.append(begins[word[:n]])
         return tuple(found)
 
-    def spellings(self, token: str) -> list[str]:
-        """What a token may say: itself without marks around it, then its decoded forms if it may be disguised."""
+    def readings(self, token: str) -> list[tuple[str, float]]:
+        """What a token may say if it may be disguised: its likeliest readings without the marks around it and with them, the likelier first."""
         low = token.lower()
         core = low.strip(EDGE)
-        out = [core]
-        if not core.isalpha() or low[0] in STANDS_FOR or low[-1] in STANDS_FOR or DRAWN_OUT.search(core):
-            for form in dict.fromkeys((low.strip(OUTSIDE), core)):
-                if suspicious(form):
-                    out += [w for w, _ in decode(form, self.cost)]
-        return out
+        if core.isalpha() and low[0] not in STANDS_FOR and low[-1] not in STANDS_FOR and not DRAWN_OUT.search(core):
+            return []
+        return sorted((decode(form, self.flat) for form in {core, low.strip(OUTSIDE)} if suspicious(form)), key=lambda x: (x[1], x[0]))
+
+    def run_reading(self, run: str) -> str:
+        """What a run of short tokens says."""
+        return decode(BLANKS.sub(" ", run.lower()), self.flat)[0]
 
     def word(self, token: str) -> tuple[int, ...]:
-        """Lexicon features of a token: those of the spelling with the most weight."""
-        best, most = (), 0.0
-        for w in self.spellings(token):
-            found = self.look_up(w)
-            if found and (value := float(self.weights[list(found)].sum()) or 1e-9) > most:
-                best, most = found, value
-        return best
+        """Lexicon features of a token, as it stands and as it reads."""
+        found = self.look_up(token.lower().strip(EDGE))
+        if self.plain:
+            return found
+        return tuple({*found, *(i for read, _ in self.readings(token) for w in read.split() for i in self.look_up(w))})
 
     def evidence(self, text: str) -> list[int]:
         """The distinct lexicon features of a text."""
-        known, found = self.known, set()
-        for token in set(join_spelled(text).split()):
-            ids = known.get(token)
+        found: set[int] = set()
+        if len(self.idle) + len(self.known) > 400_000:
+            self.idle.clear()
+            self.known.clear()
+        pieces = set(text.split())
+        if not self.plain:
+            pieces.update(m[0] for m in SPELLED.finditer(text))
+        for piece in pieces - self.idle:
+            ids = self.known.get(piece)
             if ids is None:
-                if len(known) > 300_000:
-                    known.clear()
-                ids = known[token] = self.word(token)
-            if ids:
-                found.update(ids)
+                ids = self.word(piece) if len(piece.split(None, 1)) == 1 else tuple({i for w in self.run_reading(piece).split() for i in self.look_up(w)})
+                if len(piece) <= REMEMBERED:
+                    if ids:
+                        self.known[piece] = ids
+                    else:
+                        self.idle.add(piece)
+            found.update(ids)
         return sorted(found)
 
     def restore(self, text: str) -> str:
-        """The text with disguised tokens spelled out."""
+        """The text with disguised tokens and runs spelled out."""
+        joined = SPELLED.sub(lambda m: self.run_reading(m[0]), text)
+        return re.sub(r"\S+", lambda m: self.plainest(m[0]), joined)
 
-        def plain(m: re.Match) -> str:
-            forms = self.spellings(m[0])
-            if len(forms) == 1:
-                return m[0]
-            return max(forms[1:], key=lambda w: float(self.weights[list(self.look_up(w))].sum()))
-
-        return re.sub(r"\S+", plain, join_spelled(text))
+    def plainest(self, token: str) -> str:
+        """A token as it most likely reads: a reading that the lexicon knows before others, the likelier one before others."""
+        reads = [r for r, _ in self.readings(token)]
+        return next((r for r in reads if any(self.look_up(w) for w in r.split())), reads[0] if reads else token)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.features:
@@ -283,7 +326,7 @@ def texts_of(batch: pa.RecordBatch, column: int, rows: int = 256) -> Iterator[tu
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus: int = MODULUS, held: int = HELD) -> Model:
     """Character counts over all documents; lexicon and scale from at most some ``bound`` labelled rows."""
     cost = cost_table(count_characters(docs))
-    rows = training_rows(docs, labels, "toxic", modulus, held, bound)
+    rows = cut_lineage(training_rows(docs, labels, "toxic", modulus, held, bound))
 
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], int] = {}
@@ -298,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus: int = M
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen]), pa.array([y for _, y in seen]), pa.array(list(seen.values()), pa.int64())], ["feature", "toxic", "n"])
 
     counted = rows.select("label", "text").mapInArrow(features_of, "feature string, toxic boolean, n long")
-    sums = counted.groupBy("feature").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("no"))
+    sums = cut_lineage(counted.groupBy("feature").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("no")))
     total = sums.where("feature = ''").first()
     yes, no = (int(total["yes"]), int(total["no"])) if total else (0, 0)
     if not yes:
@@ -307,18 +350,27 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, modulus: int = M
     term = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0)
     value = term(F.col("yes"), rate) + term(F.col("no"), max(1 - rate, 1e-9))
     few = sums.where((F.col("feature") != "") & (F.col("yes") >= LEAST) & (F.col("yes") > n * rate * 2)).orderBy(F.desc(value), "feature").limit(LEXICON).toPandas()
-    model = Model(cost, few["feature"].to_list(), np.ones(len(few)))
-
-    def evidence_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.evidence(t or "") for _, _, texts in texts_of(batch, 2) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "label", "ids"])
-
-    seen = rows.mapInArrow(evidence_of, "key long, label int, ids array<int>").toPandas().sort_values(["key", "label"], kind="stable")
-    y = (seen["label"] > 0).to_numpy(np.float32)
-    x = np.zeros((len(y), len(few)), np.float32)
-    for i, ids in enumerate(seen["ids"]):
-        x[i, ids] = 1
+    names = few["feature"].to_list()
+
+    def evidence(model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Labels, and which candidates each row has."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [model.evidence(t or "") for _, _, texts in texts_of(batch, 2) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["key", "label", "ids"])
+
+        seen = rows.mapInArrow(each, "key long, label int, ids array<int>").toPandas().sort_values(["key", "label"], kind="stable")
+        x = np.zeros((len(seen), len(names)), np.float32)
+        for i, ids in enumerate(seen["ids"]):
+            x[i, ids] = 1
+        return (seen["label"] > 0).to_numpy(np.float32), x
+
+    # words of the lexicon as rows spell them out; then the lexicon of the restored rows
+    y, x = evidence(Model(cost, names, np.ones(len(names)), plain=True))
+    words = [names[i] for i in pick_lexicon(x, y) if names[i][-1:] != "^"]
+    cost = own_words(cost, words)
+    y, x = evidence(Model(cost, names, np.ones(len(names))))
     keep = pick_lexicon(x, y)
     if not len(keep):
         return Model(cost)
