@@ -15,9 +15,11 @@ documents are the item's seeds.  Items too short for that are sought by their
 single words in the same way.  Documents that have a seed are aligned with the
 item around its pairs, where ``need`` of them stand close together.
 
-The seeds are sent to the executors in slices of items of at most
-``slice_bytes`` of text; a larger benchmark takes more slices, each a pass over
-the documents.  Documents don't move.
+The items are broadcast in slices of at most ``slice_bytes`` of text, some 5 bytes
+a byte of it, with the counts of their pairs (16 bytes each on the driver); a
+larger benchmark takes more slices, each two passes over the documents.  Documents
+don't move: their words meet the slice's pairs in a hash join of its own, by
+sorted hashes.
 
 Defined results for odd input: a null or empty text matches nothing; items with
 fewer than ``n`` words match nothing; items with a null item_id are left out;
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ from millrace.llm.quality import pieces
 
 SEED_WORDS = 3
 MIN_SCORE = 0.5
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 #: Regions of a text that overlap are aligned as one up to so many times the length of a single one.
 JOINED = 8
 
@@ -60,27 +63,37 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return P.slice_hashes(LOWER[data], starts, ends), row
 
 
+def best_end(item: np.ndarray, text: np.ndarray, anchored: bool = False) -> tuple[int, int, int]:
+    """Best score of an alignment, and how many words of the item and of the text it ends after; the first of equals.
+
+    One row of scores is held at a time.  An ``anchored`` alignment begins at the first words of both.
+    """
+    j = np.arange(len(text) + 1, dtype=np.int32)
+    last = -j if anchored else np.zeros(len(text) + 1, np.int32)
+    best = (0, 0, 0)
+    for i, word in enumerate(item, 1):
+        row = np.empty(len(text) + 1, np.int32)
+        row[0] = -i if anchored else 0
+        row[1:] = np.maximum(last[:-1] + np.where(text == word, np.int32(2), np.int32(-1)), last[1:] - 1)
+        if not anchored:
+            np.maximum(row, 0, out=row)
+        last = np.maximum.accumulate(row + j) - j  # gaps along the text
+        k = int(np.argmax(last))
+        if last[k] > best[0]:
+            best = (int(last[k]), i, k)
+    return best
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment of two word sequences: score, first and last aligned word of the text."""
-    j = np.arange(len(text) + 1)
-    rows = [np.zeros(len(text) + 1, np.int64)]
-    for word in item:
-        last = rows[-1]
-        e = np.zeros(len(text) + 1, np.int64)
-        e[1:] = np.maximum(0, np.maximum(last[:-1] + np.where(text == word, 2, -1), last[1:] - 1))
-        rows.append(np.maximum.accumulate(e + j) - j)  # gaps along the text
-    table = np.stack(rows)
-    i, k = np.unravel_index(int(np.argmax(table)), table.shape)
-    best, end = int(table[i, k]), k
-    while table[i, k] > 0:
-        here = table[i, k]
-        if here == table[i - 1, k - 1] + (2 if text[k - 1] == item[i - 1] else -1):
-            i, k = i - 1, k - 1
-        elif here == table[i - 1, k] - 1:
-            i -= 1
-        else:
-            k -= 1
-    return best, int(k), int(end) - 1
+    """Best local alignment of two word sequences: score, first and last aligned word of the text.
+
+    The same words are walked back from its end to find where it begins.
+    """
+    best, i, k = best_end(item, text)
+    if not best:
+        return 0, 0, -1
+    _, _, back = best_end(item[:i][::-1], text[:k][::-1], anchored=True)
+    return best, k - back, k - 1
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,9 +172,12 @@ class Items:
         order = np.argsort(at, kind="stable")
         return h, row, at[order], g[order]
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
+    def keep_rare(self, gram: np.ndarray, n: np.ndarray) -> None:
         """Seeds are as many of each item's rarest pairs by number of documents as no alignment can avoid."""
-        df = np.array([counts.get(int(g), 0) for g in self.gram.tolist()], np.int64)
+        order = np.argsort(gram)
+        gram, n = np.r_[gram[order], P.U64(0)], np.r_[n[order], 0]
+        at = np.searchsorted(gram[:-1], self.gram)
+        df = np.where(gram[at] == self.gram, n[at], 0)
         order = np.lexsort((self.gram, df, self.item))
         item = self.item[order]
         nth = np.arange(len(item)) - np.searchsorted(item, item)
@@ -239,8 +255,8 @@ class Items:
         return out
 
 
-def item_slices(docs: DataFrame, benchmark: DataFrame, least: float, n: int, slice_bytes: int) -> Iterator[Items]:
-    """Items with their seeds chosen, in slices of bounded size."""
+def item_slices(docs: DataFrame, benchmark: DataFrame, least: float, n: int, slice_bytes: int) -> Iterator[Broadcast]:
+    """Items with their seeds chosen, in slices of bounded size, broadcast."""
     named = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).count()
     total = named.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     slices = max(1, -(-total // slice_bytes))
@@ -249,8 +265,10 @@ def item_slices(docs: DataFrame, benchmark: DataFrame, least: float, n: int, sli
         if not rows:
             continue
         items = Items([r[0] for r in rows], [r[1] for r in rows], n, least)
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def count(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             total = np.zeros(len(items.gram), np.int64)
             for batch in batches:
                 for _, _, data, offsets in pieces(batch, 0):
@@ -260,9 +278,9 @@ def item_slices(docs: DataFrame, benchmark: DataFrame, least: float, n: int, sli
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(items.gram[seen].view(np.int64)), pa.array(total[seen])], ["gram", "n"])
 
-        counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        items.keep_rare({r["gram"] & P.MASK: r["n"] for r in counted})
-        yield items
+        counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+        items.keep_rare(counted["gram"].to_numpy(np.int64).view(np.uint64), counted["n"].to_numpy(np.int64))
+        yield docs.sparkSession.sparkContext.broadcast(items)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE, n: int = SEED_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -270,11 +288,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE,
     out = docs.sparkSession.createDataFrame([], FOUND)
     for items in item_slices(docs, benchmark, least, n, slice_bytes):
 
-        def each(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 for a, _, data, offsets in pieces(batch, 1):
-                    rows += [(batch.column(0)[a + i].as_py(), *x) for i, *x in items.matches(data, offsets)]
+                    rows += [(batch.column(0)[a + i].as_py(), *x) for i, *x in items.value.matches(data, offsets)]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(columns)], ["key", "item_id", "score", "n_places", "first_word", "last_word"])
 
@@ -292,11 +310,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE,
     out = docs
     for items in item_slices(docs, benchmark, least, n, slice_bytes):
 
-        def each(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for a, _, data, offsets in pieces(batch, at):
-                    clean[[a + m[0] for m in items.matches(data, offsets)]] = False
+                    clean[[a + m[0] for m in items.value.matches(data, offsets)]] = False
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(each, docs.schema)

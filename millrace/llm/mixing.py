@@ -9,9 +9,10 @@ over salted parts of a source at once; the two or so documents that each part
 leaves between 0 and 1 meet again in the next round, and the last few land.
 
 Defined results for odd input: a null or empty text has size 0 and is taken as 0
-words; null sources are one source, last in order; rows with an equal doc_id are
-drawn each for itself; other columns are ignored; an empty table gives an empty
-result.  The draw depends on the rows and the seed only.
+words; null sources are one source, last in order; rows with an equal doc_id, or
+without one, are drawn each for itself; other columns are ignored (and kept by
+``mixed_documents``); an empty table gives an empty result.  The draw depends on
+the rows (doc_id and text) and the seed only.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import cut_lineage
+from millrace.llm.components import cut_lineage, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -35,8 +36,24 @@ SEED = 42
 PART = 4_000
 #: Documents above this share of their part's sizes settle before the others.
 LARGE = 0.003
-#: Up to so many sources, their targets are broadcast; beyond it, they are joined by a shuffle.
-BROADCAST_SOURCES = 100_000
+#: Up to so many bytes of sources, their targets are broadcast; beyond it, they are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+
+
+def ranked(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``nth`` from 0 by the code points of a column, nulls last; sorted over the cluster, one offset a partition on the driver."""
+    order = F.col(column).asc_nulls_last()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
+    placed = cut_lineage(dealt.withColumn("_id", F.monotonically_increasing_id()))  # partition and place in it
+    here = F.shiftright("_id", 33)
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(here.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for part, n in sizes:
+        offsets += [F.lit(part).cast("long"), F.lit(total).cast("long")]
+        total += n
+    before = F.create_map(*offsets)[here] if offsets else F.lit(0).cast("long")
+    return placed.withColumn("nth", before + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
 
 
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -45,9 +62,8 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     The loop holds three sums on the driver, however many sources there are.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
     wheel = F.array(*[F.lit(float(w)) for w in weights])
-    totals = cut_lineage(totals.withColumn("weight", F.element_at(wheel, (nth % len(weights) + 1).cast("int"))))
+    totals = cut_lineage(ranked(totals, "source").withColumn("weight", F.element_at(wheel, (F.col("nth") % len(weights) + 1).cast("int"))))
     cap = F.col("source_size") * F.lit(float(most))
     whole = float(totals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * share
     level, capped = 0.0, -1
@@ -115,7 +131,7 @@ def settle_large(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, shar
             rest = np.flatnonzero((q > 0) & (q < 1))
             rest = rest[rest != i]
             s = size[rest]
-            if size[i] <= share * (s.sum() + size[i]) or len(rest) < 3:
+            if size[i] <= share * (s.sum() + size[i]) or len(rest) < 3 or not s.any():
                 return q
             n, s1, s2 = float(len(rest)), s.sum(), (s * s).sum()
             det = n * s2 - s1 * s1
@@ -145,14 +161,14 @@ def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def draw(units: DataFrame, seed: int = SEED, part: int = PART) -> DataFrame:
-    """``units`` (source, docs, key, size, p ...) with p settled to 0 or 1."""
+    """``units`` (source, docs, key, mark, size, p ...) with p settled to 0 or 1; ``mark`` tells rows of one key apart."""
     schema = units.schema
     names = units.columns
 
     def move(last: bool, salt: int):
         def each(key: tuple, table: pa.Table) -> pa.Table:
-            key_, shuffled, size = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "shuffled", "size"))
-            order = np.lexsort([key_, shuffled, -size])  # large documents settle first: what is left to land is small
+            mark, shuffled, size = (table.column(c).to_numpy(zero_copy_only=False) for c in ("mark", "shuffled", "size"))
+            order = np.lexsort([mark, shuffled, -size])  # large documents settle first: what is left to land is small
             table = table.take(pa.array(order))
             p, size = table.column("p").to_numpy().copy(), table.column("size").to_numpy().astype(float)
             rng = np.random.default_rng([seed, salt, *(x & 0xFFFFFFFF for x in (hash_of(key[0].as_py()), key[1].as_py()))])
@@ -174,7 +190,7 @@ def draw(units: DataFrame, seed: int = SEED, part: int = PART) -> DataFrame:
     while True:
         last = most <= part
         parts = F.ceil(F.col("docs") / F.lit(part))
-        dealt = left.withColumn("shuffled", F.xxhash64("key", F.lit(seed), F.lit(salt))).withColumn("_part", F.pmod(F.col("shuffled"), parts).cast("long"))
+        dealt = left.withColumn("shuffled", F.xxhash64("key", "mark", F.lit(seed), F.lit(salt))).withColumn("_part", F.pmod(F.col("shuffled"), parts).cast("long"))
         moved = cut_lineage(dealt.groupBy("source", "_part").applyInArrow(move(last, salt), schema))
         if last:
             return moved if done is None else done.unionByName(moved)
@@ -191,17 +207,18 @@ def hash_of(name: str | None) -> int:
 
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, part: int = PART, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken) of every document."""
+    """(key, source, size, source_size, target, copies, taken, mark) of every document; ``mark`` is its text's hash."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut_lineage(docs.select(F.col(key).cast("long").alias("key"), F.col(source).alias("source"), size.alias("size")))
+    sized = cut_lineage(docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(source).alias("source"), size.alias("size")))
     targets = cut_lineage(source_targets(sized, weights, share, most))
-    side = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
+    length = targets.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    side = F.broadcast(targets) if length <= BROADCAST_BYTES else targets
     joined = sized.join(side.withColumnRenamed("source", "_source"), sized["source"].eqNullSafe(F.col("_source")), "inner").drop("_source")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = joined.withColumn("whole", F.floor(times)).withColumn("p", times - F.floor(times))
-    drawn = draw(units.select("source", "docs", "key", "size", "source_size", "target", "whole", "p"), seed, part)
+    drawn = draw(units.select("source", "docs", "key", "mark", "size", "source_size", "target", "whole", "p"), seed, part)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return drawn.select(F.col("key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return drawn.select(F.col("key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "mark")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -212,8 +229,11 @@ def digest(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with all their columns and the number of ``copies`` of each.
 
-    Rows with an equal doc_id, or all with none, are taken alike: by the largest of their draws.
+    Rows with an equal doc_id and text are taken alike: by the largest of their
+    draws.  Where a column is called copies already, the new one is copies_2.
     """
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.drop("copies").join(copies, F.col("doc_id").eqNullSafe(F.col("_key")))
-    return taken.drop("_key").withColumnRenamed("_copies", "copies")
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"), own)
+    taken = rows.join(copies, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_mark")))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("_copies").alias(fresh(docs.columns, "copies")))
