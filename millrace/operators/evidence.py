@@ -45,8 +45,21 @@ def line_state(covered: Column, coverable: Column, complete: Column) -> Column:
     return F.when(complete & (coverable > 0), F.when(covered == coverable, COVERED).otherwise(UNCOVERED)).otherwise(UNKNOWN)
 
 
-def inspect(occurrences: DataFrame, ranges: DataFrame, document: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """State and reason of each occurrence (start, end) from the ranges (o_start, o_end, state) that hold it."""
+#: Why evidence is not conclusive. Fixed values.
+REASONS = (
+    "EvidenceNotPrepared", "LooseSource", "NoApplicableTests", "MissingSymbols", "SymbolIdentityMismatch", "ModuleIdentityMismatch", "SourceIdentityMismatch",
+    "MissingOrExcludedDocument", "MissingRange", "PartialRange", "UnsupportedExpressionMapping", "UnsupportedEnumerationMapping",
+)
+
+
+def inspect(occurrences: DataFrame, ranges: DataFrame, document: Sequence[str], key: Sequence[str], fixtures: DataFrame | None = None, precise: DataFrame | None = None, covered_documents: DataFrame | None = None) -> DataFrame:
+    """State and reason of each occurrence (start, end) from the ranges (o_start, o_end, state) that hold it.
+
+    What counts first: a fixture for the very span; a document without any evidence
+    (where ``covered_documents`` lists those that have some, with ``reason`` null, or say
+    why not); a precise statement for the very span; then the ranges.  ``fixtures`` and
+    ``precise`` have the document columns, start, end, state and reason.
+    """
     from millrace.operators.spans import containment_join
 
     own = containment_join(occurrences, ranges, document).groupBy(*key).agg(
@@ -56,8 +69,46 @@ def inspect(occurrences: DataFrame, ranges: DataFrame, document: Sequence[str],
     )
     joined = occurrences.join(own, list(key), "left")
     state = F.when(F.col("_none").isNull(), UNKNOWN).when(F.col("_none"), UNCOVERED).when(F.col("_some"), UNKNOWN).when(F.col("_exact").isNotNull(), F.col("_exact")).otherwise(UNKNOWN)
-    reason = F.when(F.col("_none").isNull(), "MissingRange").when(F.col("_none"), None).when(F.col("_some"), "UnknownRange").when(F.col("_exact").isNull(), "UnsupportedExpressionMapping")
-    return joined.withColumns({"evidence_state": state, "evidence_reason": reason}).drop("_none", "_some", "_exact")
+    reason = F.when(F.col("_none").isNull(), "MissingRange").when(F.col("_none"), None).when(F.col("_some"), "PartialRange").when(F.col("_exact").isNull(), "UnsupportedExpressionMapping")
+    at = [*document, "start", "end"]
+    if precise is not None:
+        joined = joined.join(precise.select(*at, F.col("state").alias("_p_state"), F.col("reason").alias("_p_reason")), at, "left")
+        state, reason = F.coalesce("_p_state", state), F.when(F.col("_p_state").isNotNull(), F.col("_p_reason")).otherwise(reason)
+    if covered_documents is not None:
+        joined = joined.join(covered_documents.select(*document, F.lit(True).alias("_has"), F.col("reason").alias("_d_reason")), list(document), "left")
+        absent = F.coalesce(F.col("_d_reason"), F.when(F.col("_has").isNull(), "EvidenceNotPrepared"))
+        state, reason = F.when(absent.isNotNull(), UNKNOWN).otherwise(state), F.coalesce(absent, reason)
+    if fixtures is not None:
+        joined = joined.join(fixtures.select(*at, F.col("state").alias("_f_state"), F.col("reason").alias("_f_reason")), at, "left")
+        state, reason = F.coalesce("_f_state", state), F.when(F.col("_f_state").isNotNull(), F.col("_f_reason")).otherwise(reason)
+    return joined.withColumns({"evidence_state": state, "evidence_reason": reason}).drop("_none", "_some", "_exact", "_p_state", "_p_reason", "_has", "_d_reason", "_f_state", "_f_reason")
+
+
+def executed(state: Column) -> Column:
+    """Whether execution is established: what is unknown is not."""
+    return F.coalesce(state == COVERED, F.lit(False))
+
+
+def enumeration_started(loops: DataFrame, advances: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``loops`` (loop_id, document_id, start, is_resolved) with evidence that their first advance ran.
+
+    ``advances`` has (document_id, start, function_id): the points where a loop moves
+    on, one a compiled function; ``ranges`` (document_id, start, function_id, state).
+    Every point needs a range of its function.
+    """
+    points = loops.where("is_resolved").select("loop_id", "document_id", "start").join(advances, ["document_id", "start"])
+    held = points.join(ranges.select("document_id", "start", "function_id", "state"), ["document_id", "start", "function_id"], "left")
+    own = held.groupBy("loop_id").agg(F.bool_or(F.col("state").isNull()).alias("_lacks"), merged_state("state").alias("_state"))
+    joined = loops.join(own, "loop_id", "left")
+    state = F.when(F.col("_lacks").isNull() | F.col("_lacks"), UNKNOWN).otherwise(F.col("_state"))
+    reason = F.when(F.col("_lacks").isNull(), "UnsupportedEnumerationMapping").when(F.col("_lacks"), "MissingRange").when(F.col("_state") == UNKNOWN, "PartialRange")
+    return joined.withColumns({"evidence_state": state, "evidence_reason": reason}).drop("_lacks", "_state")
+
+
+def failure_message(state: Column, uncovered: str | Column, unknown: str | Column) -> Column:
+    """What a requirement that is not met says: one message where it did not run, another where nobody knows."""
+    text = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.when(state == UNCOVERED, text(uncovered)).when(state == UNKNOWN, text(unknown))
 
 
 def review_unknown(state: Column, reasons: Column, configured: Sequence[str]) -> Column:

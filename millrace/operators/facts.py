@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import utf16_order
 from millrace.operators.graph import closure
-from millrace.plans.session import cut_lineage, holds, small_side
+from millrace.plans.session import cut_lineage, first_of_each, holds, small_side
 
 
 def distinct_definitions(parts: DataFrame, symbol: str = "symbol") -> DataFrame:
     """One row for each context and symbol: its first part by path, then source order."""
-    order = Window.partitionBy("context_id", symbol).orderBy(utf16_order(F.col("path")), "start")
-    return parts.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return first_of_each(parts, ["context_id", symbol], [utf16_order(F.col("path")), "start"])
 
 
 def within_files(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -139,11 +138,18 @@ def implementation_views(views: DataFrame, implementations: DataFrame) -> DataFr
 
 
 def property_views(reached: DataFrame, properties: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Properties of the reached types (seed, type): the nearest declaration hides those further up; seeds are merged."""
+    """Properties (context_id, project, path, start, owner, name) of the reached types (seed, type), one view each.
+
+    The nearest declaration hides those further up; the seeds that reach a view are
+    merged.  ``property_view_order`` sorts them.
+    """
     wide = reached.join(lineage, "type").join(properties.withColumnRenamed("owner", "ancestor"), "ancestor")
-    nearest = Window.partitionBy("seed", "type", "name").orderBy("depth", "ancestor")
-    own = wide.withColumn("_nth", F.row_number().over(nearest)).where("_nth = 1")
-    return own.groupBy("type", F.col("ancestor").alias("owner"), "name").agg(F.array_sort(F.collect_set("seed")).alias("reached_from"))
+    own = first_of_each(wide, ["seed", "type", "name"], ["depth", "ancestor"])
+    return own.groupBy("path", "project", "start", F.col("ancestor").alias("owner"), "name", "type").agg(F.array_sort(F.collect_set("seed")).alias("reached_from"))
+
+
+def property_view_order(views: DataFrame) -> DataFrame:
+    return views.orderBy(utf16_order(F.col("path")), utf16_order(F.col("project")), "start", utf16_order(F.col("owner")), utf16_order(F.col("type")), "name")
 
 
 def resolve_keys(keys: DataFrame, members: DataFrame) -> DataFrame:
@@ -161,23 +167,32 @@ def resolve_keys(keys: DataFrame, members: DataFrame) -> DataFrame:
     return state.select("key_id", F.when(F.col("ok"), F.col("path")).alias("path"))
 
 
-def follow_parents(rows: DataFrame, parents: DataFrame, skip: Column, most: int = 32) -> DataFrame:
-    """(id, outer): each node's nearest ancestor-or-self that is not skipped (conversions, parentheses); null beyond ``most``."""
+def follow_parents(rows: DataFrame, parents: DataFrame, skip: Column) -> DataFrame:
+    """(id, outer): each node's nearest ancestor-or-self that is not skipped (conversions, parentheses); null if there is none.
+
+    Links over skipped nodes double in length each round: a chain of any depth takes
+    the logarithm of it.
+    """
     links = cut_lineage(parents.select(F.col("id").alias("_id"), "parent", holds(skip).alias("_skip")))
-    state = rows.select("id", F.col("id").alias("outer"))
-    for _ in range(most):
-        step = state.join(links, state["outer"] == links["_id"], "left")
-        moving = step.where("_skip")
-        if moving.isEmpty():
-            return state
-        state = cut_lineage(step.select("id", F.when(F.col("_skip"), F.col("parent")).otherwise(F.col("outer")).alias("outer")))
-    return state.join(links, state["outer"] == links["_id"], "left").select("id", F.when(~holds(F.col("_skip")), F.col("outer")).alias("outer"))
+    jump = cut_lineage(links.select("_id", F.when(F.col("_skip"), F.col("parent")).otherwise(F.col("_id")).alias("_to"), "_skip"))
+    for _ in range(64):  # chains of up to 2**64 links
+        ahead = jump.select(F.col("_id").alias("_mid"), F.col("_to").alias("_then"), F.col("_skip").alias("_more"))
+        open_ = jump.join(ahead, jump["_to"] == ahead["_mid"], "left")
+        moved = holds(F.col("_more")) & F.col("_skip") & (F.col("_to") != F.col("_id"))  # the goal is skipped too
+        after = cut_lineage(open_.select("_id", F.when(moved, F.col("_then")).otherwise(F.col("_to")).alias("_to"), "_skip", moved.alias("_moved")))
+        jump = after.drop("_moved")
+        if after.where("_moved").isEmpty():
+            break
+    whole = links.where("not _skip").select(F.col("_id").alias("outer"))
+    known = jump.join(whole, F.col("_to") == F.col("outer")).select("_id", "outer")
+    return rows.select("id").join(known, F.col("id") == F.col("_id"), "left").select("id", "outer")
 
 
 def routes(mappings: DataFrame, groups: DataFrame, hops: int = 10) -> DataFrame:
     """(route_id, route): constant templates behind the prefixes of their groups, over at most ``hops`` of them.
 
-    ``groups`` has (group_id, parent_group, prefix); a prefix or template that is not constant makes the route null.
+    ``groups`` has (group_id, parent_group, prefix); a prefix or template that is not constant makes the route null,
+    and so does a longer chain: it can't be read.
     """
     side = groups.select(F.col("group_id").alias("_group"), F.col("parent_group").alias("_parent"), F.col("prefix").alias("_prefix"))
     state = mappings.select("route_id", F.col("group_id").alias("at"), F.col("template").alias("route"), F.col("template").isNotNull().alias("ok"))

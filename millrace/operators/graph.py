@@ -1,7 +1,7 @@
-"""Graphs: closure, reachability, shortest paths, callees, bounded traversal, cliques, dataflow.
+"""Graphs: closure, reachability, components, shortest paths, callees, bounded traversal, cliques, dataflow.
 
-Loops hold frames on the cluster and counts on the driver; every round is cut by
-``checkpoint`` in the shared folder.
+Loops hold frames on the cluster and counts on the driver.  Each round writes only
+what is new to the shared folder; what was found before is read, not written again.
 """
 
 from __future__ import annotations
@@ -12,33 +12,58 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.session import cut_lineage
+from millrace.plans.session import Gathered, cut_lineage
 
 
 def _edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return edges.select(F.col(src).alias("e_src"), F.col(dst).alias("e_dst")).where("e_src is not null and e_dst is not null").distinct()
 
 
+def _grow(e: DataFrame, first: DataFrame, step: int, depth: int | None = None) -> DataFrame:
+    """(start, node, depth): what ``first`` reaches over edges ``e``, semi-naively; its own depth is step - 1."""
+    front = cut_lineage(first.withColumn("depth", F.lit(step - 1)))
+    seen = Gathered(front)
+    while depth is None or step <= depth:
+        new = front.join(e, front["node"] == e["e_src"]).select("start", F.col("e_dst").alias("node")).distinct()
+        front = cut_lineage(new.join(seen.rows().select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(step)))
+        if front.isEmpty():
+            break
+        seen.add(front)
+        step += 1
+    return seen.rows()
+
+
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, depth: int | None = None) -> DataFrame:
-    """(start, node, depth): the fewest steps from each start to each node, semi-naively.
+    """(start, node, depth): the fewest steps from each start to each node.
 
     With ``nodes`` (one column) the closure is reflexive and starts there.
     """
     e = cut_lineage(_edges(edges, src, dst))
     if nodes is not None:
-        seed = nodes.toDF("start").distinct().select("start", F.col("start").alias("node"))
-    else:
-        seed = e.toDF("start", "node").distinct()
-    seen = cut_lineage(seed.withColumn("depth", F.lit(0 if nodes is not None else 1)))
-    front, step = seen, 1 if nodes is not None else 2
-    while depth is None or step <= depth:
-        new = front.join(e, front["node"] == e["e_src"]).select("start", F.col("e_dst").alias("node")).distinct()
-        front = cut_lineage(new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(step)))
-        if front.isEmpty():
+        return _grow(e, nodes.toDF("start").distinct().select("start", F.col("start").alias("node")), 1, depth)
+    return _grow(e, e.toDF("start", "node").distinct(), 2, depth)
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of links (a, b) reaches, either way.
+
+    Large-star and small-star rounds: their number grows with the logarithm of a
+    component, and no pairs of its nodes are made.
+    """
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).where("node is not null").distinct()
+    edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct())
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        after = cut_lineage(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct())
+        done = edges.join(after, ["u", "v"], "left_anti").isEmpty() and edges.count() == after.count()
+        edges = after
+        if done:
             break
-        seen = cut_lineage(seen.unionByName(front))
-        step += 1
-    return seen
+    root = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return nodes.join(root, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def call_edges(sites: DataFrame, delegates: bool = False, dispatch: DataFrame | None = None, configured: DataFrame | None = None) -> DataFrame:
@@ -52,38 +77,51 @@ def call_edges(sites: DataFrame, delegates: bool = False, dispatch: DataFrame |
     return out.distinct()
 
 
+def steps(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node, ordinal): one call from each start, in source order by ``ordinal``."""
+    e = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), "ordinal")
+    return e.join(starts.toDF("start").distinct(), "start", "left_semi").groupBy("start", "node").agg(F.min("ordinal").alias("ordinal"))
+
+
 def reaches(edges: DataFrame, starts: DataFrame, targets: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
-    """(start, reaches): whether a path of at least one edge leads to a target; boundary nodes are never entered."""
+    """(start, reaches): whether a path of at least one edge leads to a target; boundary nodes are never entered.
+
+    The walk goes backwards from all targets at once: each node enters it once.
+    """
     e = edges.select("src", "dst")
     if boundary is not None:
         e = e.join(boundary.toDF("dst"), "dst", "left_anti").select("src", "dst")
-    walk = paths_from(e, starts)
-    hit = walk.join(targets.toDF("node").distinct(), "node", "left_semi").select("start").distinct().withColumn("reaches", F.lit(True))
+    e = cut_lineage(_edges(e, "src", "dst"))
+    front = cut_lineage(e.join(targets.toDF("e_dst").distinct(), "e_dst", "left_semi").select(F.col("e_src").alias("node")).distinct())
+    seen = Gathered(front)
+    while not front.isEmpty():
+        new = e.join(front, e["e_dst"] == front["node"], "left_semi").select(F.col("e_src").alias("node")).distinct()
+        front = cut_lineage(new.join(seen.rows(), "node", "left_anti"))
+        seen.add(front)
+    hit = seen.rows().select(F.col("node").alias("start"), F.lit(True).alias("reaches"))
     return starts.toDF("start").distinct().join(hit, "start", "left").select("start", F.coalesce("reaches", F.lit(False)).alias("reaches"))
 
 
-def paths_from(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def paths_from(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(start, node, depth) over at least one edge: a start comes back only around a cycle."""
     e = cut_lineage(_edges(edges, "src", "dst"))
     first = starts.toDF("start").distinct().join(e, F.col("start") == e["e_src"]).select("start", F.col("e_dst").alias("node")).distinct()
-    seen = cut_lineage(first.withColumn("depth", F.lit(1)))
-    front, step = seen, 2
-    while True:
-        new = front.join(e, front["node"] == e["e_src"]).select("start", F.col("e_dst").alias("node")).distinct()
-        front = cut_lineage(new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(step)))
-        if front.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(front))
-        step += 1
+    return _grow(e, first, 2, depth)
 
 
-def callees(edges: DataFrame, starts: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
-    """(start, node, depth): everything called; a boundary node is given but not expanded, and a cycle gives the start."""
+def callees(edges: DataFrame, starts: DataFrame, boundary: DataFrame | None = None, owners: DataFrame | None = None, transitive: bool = True) -> DataFrame:
+    """(start, node, depth): everything called; a boundary node is given but not expanded, and a cycle gives the start.
+
+    With ``owners`` (node, owner) only calls that stay in their caller's type are followed.
+    """
     e = edges.select("src", "dst")
+    if owners is not None:
+        a, b = owners.select(F.col("node").alias("src"), F.col("owner").alias("_a")), owners.select(F.col("node").alias("dst"), F.col("owner").alias("_b"))
+        e = e.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst")
     if boundary is not None:
         blocked = boundary.toDF("b").distinct().join(starts.toDF("b").distinct(), "b", "left_anti")
         e = e.join(blocked, e["src"] == blocked["b"], "left_anti")
-    return paths_from(e, starts)
+    return paths_from(e, starts, None if transitive else 1)
 
 
 def path_to(edges: DataFrame, starts: DataFrame, targets: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
@@ -100,12 +138,12 @@ def path_to(edges: DataFrame, starts: DataFrame, targets: DataFrame, boundary: D
 
     begin = starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.array().cast("array<int>").alias("rank"))
     front = cut_lineage(grow(begin))
-    seen = front
+    seen = Gathered(front)
     while not front.isEmpty():
-        front = cut_lineage(grow(front).join(seen.select("start", "node"), ["start", "node"], "left_anti"))
-        seen = cut_lineage(seen.unionByName(front))
+        front = cut_lineage(grow(front).join(seen.rows().select("start", "node"), ["start", "node"], "left_anti"))
+        seen.add(front)
     goal = targets.toDF("node").distinct()
-    return seen.join(goal, "node", "left_semi").select("start", F.col("node").alias("target"), "path")
+    return seen.rows().join(goal, "node", "left_semi").select("start", F.col("node").alias("target"), "path")
 
 
 COMPLETE, UNRESOLVED, DEPTH_LIMIT, STATE_LIMIT = 0, 1, 2, 4
@@ -114,32 +152,131 @@ COMPLETE, UNRESOLVED, DEPTH_LIMIT, STATE_LIMIT = 0, 1, 2, 4
 def traverse(seeds: DataFrame, edges: DataFrame, most_depth: int = 32, most_states: int = 1024, stop: DataFrame | None = None) -> DataFrame:
     """(seed, node, depth, status): nodes reached from each seed within limits, and what cut the traversal short.
 
-    Edges with a null dst are unresolved ends.  Status is a set of flags, the same on
-    all rows of a seed; a seed that reaches nothing keeps its own row.
+    Edges (src, dst, and ordinal or else by dst) with a null dst are unresolved ends.
+    Nodes come in the order of a queue: by the place of the node before, then by
+    ordinal.  At the limit of states a traversal ends on the spot, and what stands behind
+    in the queue says nothing any more.  Nodes of ``stop`` are given, not expanded.  Status
+    is a set of flags, the same on all rows of a seed; a null seed is unresolved and keeps
+    a row without a node.
     """
-    e = cut_lineage(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")).distinct())
+    place = F.col("ordinal") if "ordinal" in edges.columns else F.lit(0)
+    e = cut_lineage(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), place.alias("e_ordinal")).distinct())
     halt = stop.toDF("node").distinct() if stop is not None else None
-    seen = cut_lineage(seeds.toDF("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
-    flags = seen.select("seed", F.lit(COMPLETE).alias("flag"))
-    front = seen
+    named = seeds.toDF("seed").distinct()
+    front = cut_lineage(named.where("seed is not null").select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("at"), F.lit(1).cast("long").alias("have")))
+    seen, flags = Gathered(front.select("seed", "node", "depth")), Gathered(front.select("seed", F.lit(COMPLETE).alias("flag")))
+    queue = Window.partitionBy("seed").orderBy("at", "e_ordinal", F.col("node").asc_nulls_last())
     for depth in range(1, most_depth + 2):
         open_ = front if halt is None else front.join(halt, "node", "left_anti")
-        out = open_.join(e, open_["node"] == e["e_src"]).select("seed", F.col("e_dst").alias("node")).distinct()
-        flags = flags.unionByName(out.where("node is null").select("seed", F.lit(UNRESOLVED).alias("flag")))
-        new = out.where("node is not null").join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        moved = open_.select("seed", "at", "have", F.col("node").alias("before"))
+        entries = moved.join(e, F.col("before") == e["e_src"]).select("seed", "have", "at", "e_ordinal", F.col("e_dst").alias("node"))
+        entries = cut_lineage(entries.withColumn("pos", F.row_number().over(queue)).select("seed", "have", "node", "pos"))
+        if entries.isEmpty():
+            break
+        new = entries.where("node is not null").groupBy("seed", "node").agg(F.min("pos").alias("pos"), F.max("have").alias("have"))
+        new = new.join(seen.rows().select("seed", "node"), ["seed", "node"], "left_anti")
         if depth > most_depth:
-            flags = flags.unionByName(new.select("seed", F.lit(DEPTH_LIMIT).alias("flag")))
+            found = new.select("seed", F.lit(DEPTH_LIMIT).alias("flag")).unionByName(entries.where("node is null").select("seed", F.lit(UNRESOLVED).alias("flag")))
+            flags.add(cut_lineage(found.distinct()))
             break
-        room = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("_have"))
-        nth = F.row_number().over(Window.partitionBy("seed").orderBy("node"))
-        ranked = cut_lineage(new.join(room, "seed").withColumn("_nth", nth + F.col("_have")))
-        flags = cut_lineage(flags.unionByName(ranked.where(F.col("_nth") > most_states).select("seed", F.lit(STATE_LIMIT).alias("flag"))).distinct())
-        front = ranked.where(F.col("_nth") <= most_states).select("seed", "node", F.lit(depth).alias("depth"))
+        ranked = cut_lineage(new.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("pos")) + F.col("have")))
+        full = ranked.where(F.col("rank") == most_states + 1).select("seed", F.col("pos").alias("end"))
+        ends = entries.where("node is null").join(full, "seed", "left").where("end is null or pos < end").select("seed", F.lit(UNRESOLVED).alias("flag"))
+        flags.add(cut_lineage(ends.unionByName(full.select("seed", F.lit(STATE_LIMIT).alias("flag"))).distinct()))
+        kept = cut_lineage(ranked.where(F.col("rank") <= most_states).select("seed", "node", F.lit(depth).alias("depth"), F.col("pos").cast("long").alias("at"), "rank"))
+        if kept.isEmpty():
+            break
+        seen.add(kept.select("seed", "node", "depth"))
+        going = kept.join(full.select("seed"), "seed", "left_anti")
+        have = going.groupBy("seed").agg(F.max("rank").cast("long").alias("have"))
+        front = going.join(have, "seed").select("seed", "node", "depth", "at", "have")
+    status = flags.rows().groupBy("seed").agg(F.bit_or("flag").alias("status"))
+    lost = named.where("seed is null").select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(UNRESOLVED).alias("status"))
+    return seen.rows().join(status, "seed").unionByName(lost)
+
+
+def where_type(reached: DataFrame, condition: Column) -> DataFrame:
+    """(seed, status, nodes): the nodes (node, depth) of each seed that fit, in order; a seed without one keeps its row."""
+    fit = F.when(F.coalesce(condition, F.lit(False)), F.struct("depth", "node"))
+    return reached.groupBy("seed").agg(F.max("status").alias("status"), F.transform(F.array_sort(F.array_compact(F.collect_list(fit))), lambda x: x["node"]).alias("nodes"))
+
+
+def type_edges(properties: DataFrame, arguments: DataFrame | None = None, elements: DataFrame | None = None, unwrap: DataFrame | None = None, skip: DataFrame | None = None) -> DataFrame:
+    """(src, dst, ordinal) that a traversal of types follows: its properties, generic arguments, array elements.
+
+    ``properties``, ``arguments`` and ``elements`` have (src, dst, ordinal).  A type of
+    ``unwrap`` (type, inner) is replaced by its inner type wherever it is a goal; a type
+    of ``skip`` is hidden, and its own edges take its place.
+    """
+    out = properties.select("src", "dst", "ordinal")
+    for more in (arguments, elements):
+        if more is not None:
+            out = out.unionByName(more.select("src", "dst", "ordinal"))
+    if unwrap is not None:
+        inner = unwrap.select(F.col("type").alias("_type"), F.col("inner").alias("_inner"))
+        out = out.join(inner, F.col("dst") == F.col("_type"), "left").select("src", F.when(F.col("_type").isNotNull(), F.col("_inner")).otherwise(F.col("dst")).alias("dst"), "ordinal")
+    if skip is not None:
+        hidden = skip.toDF("_hidden").distinct()
+        through = closure(out.join(hidden, F.col("dst") == F.col("_hidden"), "left_semi").select("src", "dst"))
+        own = out.join(hidden, F.col("dst") == F.col("_hidden"), "left_anti").join(hidden, F.col("src") == F.col("_hidden"), "left_anti")
+        behind = through.join(hidden, F.col("node") == F.col("_hidden"), "left_semi").join(hidden, F.col("start") == F.col("_hidden"), "left_anti").select(F.col("start").alias("_start"), "node")
+        lifted = out.join(hidden, F.col("dst") == F.col("_hidden"), "left_anti").join(behind, F.col("src") == F.col("node")).select(F.col("_start").alias("src"), "dst", "ordinal")
+        out = own.unionByName(lifted)
+    return out.distinct()
+
+
+def seeds_of(*selectors: DataFrame) -> DataFrame:
+    """(seed): the types that several selectors name, each once; an unresolved one (null) is kept."""
+    out = selectors[0].toDF("seed")
+    for more in selectors[1:]:
+        out = out.unionByName(more.toDF("seed"))
+    return out.distinct()
+
+
+def traverse_inputs(starts: DataFrame, inputs: DataFrame, most: int = 16) -> DataFrame:
+    """(start, path, node, depth, is_boundary): what each expression is made of, along every path in source order.
+
+    ``inputs`` has (src, dst, ordinal): the configured inputs of calls and locals.  A
+    path ends at a node without inputs, at one that it holds already, or beyond
+    ``most`` steps; the last two are boundaries.
+    """
+    e = cut_lineage(inputs.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst"), "ordinal").distinct())
+    front = cut_lineage(starts.toDF("start").distinct().select("start", F.col("start").alias("node"), F.array("start").alias("nodes"), F.array().cast("array<int>").alias("path")))
+    out = None
+    for depth in range(most + 1):
+        step = front.join(e, front["node"] == e["e_src"], "left")
+        ends = step.where("e_src is null").select("start", "path", "node", F.lit(depth).alias("depth"), F.lit(False).alias("is_boundary"))
+        grown = step.where("e_src is not null").select("start", F.col("e_dst").alias("node"), "nodes", F.concat("path", F.array(F.col("ordinal").cast("int"))).alias("path"))
+        again = grown.where(F.col("node").isNull() | F.array_contains("nodes", F.col("node")))
+        ends = ends.unionByName(again.select("start", "path", "node", F.lit(depth + 1).alias("depth"), F.lit(True).alias("is_boundary")))
+        going = grown.where("node is not null").where(~F.array_contains("nodes", F.col("node")))
+        if depth == most:
+            ends = ends.unionByName(going.select("start", "path", "node", F.lit(depth + 1).alias("depth"), F.lit(True).alias("is_boundary")))
+        ends = cut_lineage(ends)
+        out = ends if out is None else out.unionByName(ends)
+        front = cut_lineage(going.select("start", "node", F.concat("nodes", F.array("node")).alias("nodes"), "path"))
         if front.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(front))
-    status = flags.groupBy("seed").agg(F.bit_or("flag").alias("status"))
-    return seen.join(status, "seed")
+    return out
+
+
+def result_values(starts: DataFrame, alternatives: DataFrame) -> DataFrame:
+    """(start, value): the expressions that each may result in: alternatives of choices, followed to those that have none."""
+    reach = closure(alternatives, "src", "dst", nodes=starts)
+    inner = alternatives.select(F.col("src").alias("node")).distinct()
+    return reach.join(inner, "node", "left_anti").select("start", F.col("node").alias("value"))
+
+
+def call_chains(calls: DataFrame) -> DataFrame:
+    """(chain, position, call): calls linked by their receivers (call, receiver_call), the innermost receiver first.
+
+    A chain is named by its last call; one that no call receives ends a chain.
+    """
+    last = calls.join(calls.select(F.col("receiver_call").alias("call")).where("call is not null").distinct(), "call", "left_anti").select("call")
+    links = calls.where("receiver_call is not null")
+    reach = closure(links, "call", "receiver_call", nodes=last)
+    order = Window.partitionBy("start").orderBy(F.desc("depth"))
+    return reach.select(F.col("start").alias("chain"), F.row_number().over(order).alias("position"), F.col("node").alias("call"))
 
 
 def compatible_views(roots: DataFrame, compatible: DataFrame) -> DataFrame:
@@ -194,24 +331,35 @@ def reaching_definitions(flow: DataFrame, definitions: DataFrame, handlers: Data
     if handlers is not None:
         guarded = e.join(handlers.toDF("e_dst"), "e_dst", "left_semi")
         extra = made.join(guarded, made["block"] == guarded["e_src"]).select(F.col("e_dst").alias("block"), "variable", "definition")
-    into = None
-    front = out
+    key = ["block", "variable", "definition"]
+    arrive = out.join(e, out["block"] == e["e_src"]).select(F.col("e_dst").alias("block"), "variable", "definition")
+    new = cut_lineage((arrive if handlers is None else arrive.unionByName(extra)).distinct())
+    into, gone = Gathered(new), Gathered(out)
     while True:
-        arrive = front.join(e, front["block"] == e["e_src"]).select(F.col("e_dst").alias("block"), "variable", "definition").distinct()
-        if into is None:
-            into = cut_lineage(arrive if handlers is None else arrive.unionByName(extra).distinct())
-            new = into
-        else:
-            new = cut_lineage(arrive.join(into, ["block", "variable", "definition"], "left_anti"))
-            into = cut_lineage(into.unionByName(new))
-        front = cut_lineage(new.join(kill, ["block", "variable"], "left_anti").join(out, ["block", "variable", "definition"], "left_anti"))
+        front = cut_lineage(new.join(kill, ["block", "variable"], "left_anti").join(gone.rows(), key, "left_anti"))
         if front.isEmpty():
-            return into
-        out = cut_lineage(out.unionByName(front))
+            return into.rows()
+        gone.add(front)
+        arrive = front.join(e, front["block"] == e["e_src"]).select(F.col("e_dst").alias("block"), "variable", "definition").distinct()
+        new = cut_lineage(arrive.join(into.rows(), key, "left_anti"))
+        into.add(new)
+
+
+def view_contexts(views: DataFrame, context_edges: DataFrame) -> DataFrame:
+    """(framework, view, context_id): every context that a view's roots include, themselves among them."""
+    reach = closure(context_edges, nodes=views.select("root").distinct())
+    return views.join(reach, F.col("root") == F.col("start")).select("framework", "view", F.col("node").alias("context_id")).distinct()
 
 
 def has_cycle(edges: DataFrame, src: str = "src", dst: str = "dst") -> bool:
-    return not closure(edges, src, dst).where("start = node").isEmpty()
+    """Whether edges form a cycle: nodes without an edge into them go, again and again, until none is left or none goes."""
+    e = cut_lineage(_edges(edges, src, dst))
+    while not e.isEmpty():
+        left = cut_lineage(e.join(e.select(F.col("e_dst").alias("e_src")).distinct(), "e_src", "left_semi"))
+        if left.count() == e.count():
+            return True
+        e = left
+    return False
 
 
 def severity_of(origins: Column) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import utf16_order
+
 
 def constant_groups(rows: DataFrame, key: Sequence[str], place: Sequence[str], least: int = 2) -> DataFrame:
     """Distinct occurrences (key, place) of the constants that have at least ``least`` of them, with their number ``n``.
@@ -19,6 +22,17 @@ def constant_groups(rows: DataFrame, key: Sequence[str], place: Sequence[str], l
     return occurrences.join(sizes, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]).drop(*[f"_{k}" for k in key])
 
 
+def template_groups(rows: DataFrame, key: Sequence[str], template: Column, place: Sequence[str], least: int = 2) -> DataFrame:
+    """Distinct occurrences (key, template, place) of the one-hole templates that have at least ``least`` of them, with their number ``n``; texts without a template drop out."""
+    marked = rows.withColumn("template", template).where("template is not null")
+    return constant_groups(marked, [*key, "template"], place, least)
+
+
+def in_group_order(groups: DataFrame, key: Sequence[str], path: str, start: str) -> DataFrame:
+    """Occurrences by group, then path, then place."""
+    return groups.orderBy(*key, utf16_order(F.col(path)), start)
+
+
 def duplicates(rows: DataFrame, scope: Sequence[str], shape: Column, tokens: Column, least: int = 12) -> DataFrame:
     """All rows of at least ``least`` tokens whose shape repeats within their scope.
 
@@ -48,34 +62,58 @@ def exactly_one(views: DataFrame, links: DataFrame, view: Sequence[str], owner:
     return joined.groupBy(*owner).agg(F.bool_and(F.coalesce("_n", F.lit(0)) == 1).alias("_one")).where("_one").select(*owner)
 
 
-def partition_greedily(rows: DataFrame, key: Sequence[str], order: Sequence[str], alike: Callable[[pd.Series, pd.Series], bool], name: str = "part") -> DataFrame:
-    """First-fit parts within each key: a row joins the first part whose first row is alike, else opens one."""
+def partition_greedily(rows: DataFrame, key: Sequence[str], order: Sequence[str], alike: Callable[[dict[str, np.ndarray], dict], np.ndarray], name: str = "part") -> DataFrame:
+    """First-fit parts within each key: a row joins the first part whose first row is alike, else opens one.
+
+    ``alike`` compares the first rows of all parts (arrays by column) with one row at once.
+    """
     schema = rows.withColumn(name, F.lit(0)).schema
+    kept = [f.name for f in rows.schema]
+
+    def split(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        columns = {c: table.column(c).to_numpy(zero_copy_only=False) for c in kept}
+        heads = {c: np.empty(16, v.dtype) for c, v in columns.items()}
+        n, parts = 0, np.empty(len(table), np.int32)
+        for i in range(len(table)):
+            row = {c: v[i] for c, v in columns.items()}
+            fits = np.flatnonzero(alike({c: v[:n] for c, v in heads.items()}, row)) if n else ()
+            if not len(fits):
+                if n == len(heads[kept[0]]):
+                    heads = {c: np.concatenate([v, np.empty_like(v)]) for c, v in heads.items()}
+                for c, v in row.items():
+                    heads[c][n] = v
+                n += 1
+            parts[i] = fits[0] if len(fits) else n - 1
+        return table.append_column(name, pa.array(parts, pa.int32()))
+
+    return rows.groupBy(*key).applyInArrow(split, schema)
+
+
+def missing(expected: DataFrame, actual: DataFrame, key: str, fold: Callable[[Column], Column] = lambda c: c, order: str | None = None) -> DataFrame:
+    """Distinct expected keys that ``actual`` lacks; null equals null.
+
+    Of keys that fold alike the first spelling by ``order`` stays (without it, the smallest).
+    """
+    have = actual.select(fold(F.col(key)).alias("_other")).distinct()
+    want = expected.groupBy(fold(F.col(key)).alias("_own")).agg((F.min(key) if order is None else F.min_by(key, order)).alias(key))
+    return want.join(have, F.col("_own").eqNullSafe(F.col("_other")), "left_anti").select(key)
 
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order), kind="stable")
-        heads: list[pd.Series] = []
-        parts = []
-        for _, row in group.iterrows():
-            found = next((i for i, head in enumerate(heads) if alike(head, row)), None)
-            if found is None:
-                found = len(heads)
-                heads.append(row)
-            parts.append(found)
-        return group.assign(**{name: pd.Series(parts, index=group.index, dtype="int32")})
 
-    return rows.groupBy(*key).applyInPandas(split, schema)
+def unexpected(expected: DataFrame, actual: DataFrame, key: str, fold: Callable[[Column], Column] = lambda c: c, order: str | None = None) -> DataFrame:
+    return missing(actual, expected, key, fold, order)
 
 
-def missing(expected: DataFrame, actual: DataFrame, key: str, fold: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """Distinct expected keys that ``actual`` lacks; null equals null; of keys that fold alike the smallest spelling stays."""
-    have = actual.select(fold(F.col(key)).alias("_other")).distinct()
-    want = expected.groupBy(fold(F.col(key)).alias("_own")).agg(F.min(key).alias(key))
-    return want.join(have, F.col("_own").eqNullSafe(F.col("_other")), "left_anti").select(key)
+def are_equal(expected: DataFrame, actual: DataFrame, key: str, fold: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(are_equal, missing, unexpected): one row that compares two sets of keys."""
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    both = count(missing(expected, actual, key, fold), "missing").join(count(unexpected(expected, actual, key, fold), "unexpected"))  # a row each
+    return both.select((F.col("missing") + F.col("unexpected") == 0).alias("are_equal"), "missing", "unexpected")
 
 
-def unexpected(expected: DataFrame, actual: DataFrame, key: str, fold: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    return missing(actual, expected, key, fold)
+def blank_lines(lines: DataFrame, document: Sequence[str], text: str) -> DataFrame:
+    """(document, blank, n_lines) of each document."""
+    return lines.groupBy(*document).agg(F.count_if(F.trim(F.coalesce(F.col(text), F.lit(""))) == "").alias("blank"), F.count(F.lit(1)).alias("n_lines"))
 
 
 def sections(lines: DataFrame, document: Sequence[str], position: str, text: str) -> DataFrame:

@@ -7,25 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.session import holds
+from millrace.plans.session import fresh, holds
 
 
 def contains(outer_start: Column, outer_end: Column, start: Column, end: Column) -> Column:
     return (outer_start <= start) & (outer_end >= end)
 
 
-def containment_join(inner: DataFrame, outer: DataFrame, document: Sequence[str], bin_width: int | None = None) -> DataFrame:
+#: Width of the finest bins of a containment join, how much wider each level's are, and the levels.
+BIN, WIDER, LEVELS = 256, 16, 7
+
+
+def containment_join(inner: DataFrame, outer: DataFrame, document: Sequence[str], bins: bool = True) -> DataFrame:
     """Spans of ``inner`` (start, end) with the spans of ``outer`` (o_start, o_end) of their document that hold them.
 
-    With ``bin_width`` the outer spans are dealt to the bins they reach, and an
-    inner span meets those of its first bin only: a document with many spans is
-    shared out, and every pair is found once.
+    An outer span goes to the bins that it reaches on the first level whose bins are
+    as wide as it is, two at most (more above the last level); an inner span asks for
+    its start's bin on every level.  So a document with many spans is shared out, and
+    every pair is found once.  Without ``bins`` spans meet by document.
     """
     test = contains(F.col("o_start"), F.col("o_end"), F.col("start"), F.col("end"))
-    if bin_width is None:
+    if not bins:
         return inner.join(outer, [*document]).where(test)
-    binned = outer.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("o_start") / bin_width), F.floor(F.col("o_end") / bin_width))))
-    return inner.withColumn("_bin", F.floor(F.col("start") / bin_width)).join(binned, [*document, "_bin"]).where(test).drop("_bin")
+    level, bin_ = fresh("_level", inner, outer), fresh("_bin", inner, outer)
+    widths = [BIN * WIDER**k for k in range(LEVELS)]
+    length = F.col("o_end") - F.col("o_start")
+    own = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        own = F.when(length <= widths[k], k).otherwise(own)
+    width = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col(level) + 1)
+    dealt = outer.withColumn(level, own).withColumn(bin_, F.explode(F.sequence(F.floor(F.col("o_start") / width), F.floor(F.greatest("o_start", "o_end") / width))))
+    asked = F.array(*[F.struct(F.lit(k).alias(level), F.floor(F.col("start") / w).alias(bin_)) for k, w in enumerate(widths)])
+    return inner.select("*", F.inline(asked)).join(dealt, [*document, level, bin_]).where(test).drop(level, bin_)
 
 
 def innermost(joined: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -41,12 +54,21 @@ def overlaps(a_start: Column, a_length: Column, b_start: Column, b_length: Colum
     return F.when((a_length == 0) | (b_length == 0), touch).otherwise((a_start < b_end) & (b_start < a_end))
 
 
-def overlap_pairs(edits: DataFrame, file: str, key: str) -> DataFrame:
-    """(file, a, b): pairs of different edits of a file, a < b, that conflict."""
-    left = edits.select(F.col(file), F.col(key).alias("a"), F.col("start").alias("a_start"), F.col("length").alias("a_length"))
-    right = edits.select(F.col(file).alias("_file"), F.col(key).alias("b"), F.col("start").alias("b_start"), F.col("length").alias("b_length"))
-    test = (F.col(file) == F.col("_file")) & (F.col("a") < F.col("b")) & overlaps(F.col("a_start"), F.col("a_length"), F.col("b_start"), F.col("b_length"))
-    return left.join(right, test).select(file, "a", "b")
+def overlap_pairs(edits: DataFrame, file: str, key: str, width: int = 4_096) -> DataFrame:
+    """(file, a, b): pairs of different edits of a file, a < b, that conflict.
+
+    Edits meet in the bins of ``width`` that they reach, and each pair in the bin
+    where the later one starts.
+    """
+    def side(name: str, of: str) -> DataFrame:
+        rows = edits.select(F.col(file).alias(of), F.col(key).alias(name), F.col("start").alias(f"{name}_start"), F.col("length").alias(f"{name}_length"))
+        reach = F.sequence(F.floor(F.col(f"{name}_start") / width), F.floor((F.col(f"{name}_start") + F.col(f"{name}_length")) / width))
+        return rows.withColumn(f"_{name}_bin", F.explode(reach))
+
+    test = (F.col(file) == F.col("_file")) & (F.col("_a_bin") == F.col("_b_bin")) & (F.col("a") < F.col("b"))
+    once = F.col("_a_bin") == F.floor(F.greatest("a_start", "b_start") / width)
+    hit = overlaps(F.col("a_start"), F.col("a_length"), F.col("b_start"), F.col("b_length"))
+    return side("a", file).join(side("b", "_file"), test & once & hit).select(file, "a", "b")
 
 
 def nearest_ancestor(rows: DataFrame, nodes: DataFrame, document: Sequence[str], key: Sequence[str], wanted: Column, stop: Column) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import contains_word, matches_glob
 from millrace.plans.conditions import Condition
-from millrace.plans.session import holds
+from millrace.plans.session import first_of_each, fresh, holds
 
 
 @dataclass(frozen=True)
@@ -48,20 +49,26 @@ class Selection:
 
     def union(self, other: Selection) -> Selection:
         """Rows of both, one for each identity: the first in order, this side before the other."""
-        both = self.rows.withColumn("_side", F.lit(0)).unionByName(other.rows.withColumn("_side", F.lit(1)))
-        nth = F.row_number().over(Window.partitionBy(*self.identity).orderBy("_side", *(self.order or self.identity)))
-        return self._with(both.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_side"))
+        side = fresh("_side", self.rows, other.rows)
+        both = self.rows.withColumn(side, F.lit(0)).unionByName(other.rows.withColumn(side, F.lit(1)))
+        return self._with(first_of_each(both, [*self.identity], [side, *(self.order or self.identity)]).drop(side))
 
     def join(self, other: DataFrame, left: Column | str, right: str, fold: Callable[[Column], Column] = lambda c: c) -> Selection:
         """Inner equi join; null keys match nothing."""
-        key = fold(F.col(left) if isinstance(left, str) else left)
-        side = other.withColumn("_key", fold(F.col(right)))
-        return self._with(self.rows.withColumn("_own", key).join(side, F.col("_own") == F.col("_key")).drop("_own", "_key"))
+        own, key = fresh("_own", self.rows, other), fresh("_key", self.rows, other)
+        named = fold(F.col(left) if isinstance(left, str) else left)
+        side = other.withColumn(key, fold(F.col(right)))
+        return self._with(self.rows.withColumn(own, named).join(side, F.col(own) == F.col(key)).drop(own, key))
 
     def without_matching(self, other: DataFrame, left: str, right: str, fold: Callable[[Column], Column] = lambda c: c) -> Selection:
         """Rows whose key no row of ``other`` has; a null key matches a null key."""
-        side = other.select(fold(F.col(right)).alias("_key")).distinct()
-        return self._with(self.rows.withColumn("_own", fold(F.col(left))).join(side, F.col("_own").eqNullSafe(F.col("_key")), "left_anti").drop("_own"))
+        own, key = fresh("_own", self.rows, other), fresh("_key", self.rows, other)
+        side = other.select(fold(F.col(right)).alias(key)).distinct()
+        return self._with(self.rows.withColumn(own, fold(F.col(left))).join(side, F.col(own).eqNullSafe(F.col(key)), "left_anti").drop(own))
+
+    def without_certain(self, other: DataFrame, condition: Condition, left: str, right: str) -> Selection:
+        """``without_matching`` while evidence is missing: only rows of ``other`` that match whatever it turns out to be take a row away."""
+        return self.without_matching(other.where(condition.certain()), left, right)
 
     def without(self, other: DataFrame, matches: Column, equal: Sequence[tuple[str, str]] = ()) -> Selection:
         """Rows that no row of ``other`` matches; give the equal columns too, so that rows meet by key."""
@@ -71,7 +78,23 @@ class Selection:
         return self._with(self.rows.join(other, test, "left_anti"))
 
     def named(self, column: str, *names: str) -> Selection:
+        """Rows of one of the names."""
         return self._with(self.rows.where(F.col(column).isin(*names)))
 
+    def name_matching(self, column: str, glob: str) -> Selection:
+        """Rows whose whole name fits a glob."""
+        return self._with(self.rows.where(matches_glob(F.col(column), glob)))
+
+    def name_like(self, column: str, pattern: str) -> Selection:
+        """Rows in whose name a regular expression is found."""
+        return self._with(self.rows.where(F.col(column).rlike(pattern)))
+
+    def name_with_word(self, column: str, *words: str, fold: bool = False) -> Selection:
+        """Rows whose name has one of the words as a whole word."""
+        test = F.lit(False)
+        for word in words:
+            test = test | contains_word(F.col(column), word, fold)
+        return self._with(self.rows.where(test))
+
     def ordered(self) -> DataFrame:
         return self.rows.orderBy(*(self.order or self.identity))

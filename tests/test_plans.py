@@ -93,3 +93,35 @@ def test_require_reports_what_fails_or_is_null(spark):
     df = place(spark, ("c", "a", 1, "k"), ("c", "b", 1, None), ("c", "d", 1, "z"))
     got = rules.RuleCatalog().rule("R", rules.Clause(df, "m").require(F.col("g") == "k")).evaluate()
     assert rows(got, "path") == [("b",), ("d",)]
+
+
+def test_exclusions_match_project_names_and_paths(spark):
+    df = place(spark, ("c", "src/a/x.cs", 1, "k"), ("c", "src/y.cs", 1, "k"), ("c", "lib/z.cs", 1, "k")).withColumn("project_name", F.when(F.col("path").startswith("lib"), "Lib.Tests").otherwise("App[1]"))
+    catalog = rules.RuleCatalog().rule("R", rules.Clause(df, "m"))
+    assert rows(catalog.evaluate(exclude_projects=["Lib*"]), "path") == [("src/a/x.cs",), ("src/y.cs",)]
+    assert rows(catalog.evaluate(exclude_projects=["App[1]"]), "path") == [("lib/z.cs",)]
+    assert rows(catalog.evaluate(exclude_paths=["src/*"]), "path") == [("lib/z.cs",), ("src/a/x.cs",)]
+
+
+def test_the_first_finding_gives_complexity_and_contexts_agree_by_edits(spark):
+    base = place(spark, ("c", "a", 1, "k"), ("d", "a", 1, "k"))
+    found = rules.RuleCatalog().rule("R", rules.Clause(base, "m", fix_complexity=F.when(F.col("context_id") == "c", "Local").otherwise("Architectural")).with_fix(F.concat(F.lit("b-"), "context_id"))).evaluate()
+    made = spark.createDataFrame([("b-c", "a", 1, 1, "x"), ("b-d", "a", 1, 1, "x")], "batch_id string, file_identity string, start int, length int, replacement string")
+    got = rules.aggregate_findings(found, rules.edit_sets(made)).first()
+    assert (got.fix_complexity, got.batch_id, got.fix_withheld) == ("Local", "b-c", None)
+    assert rules.aggregate_findings(found, rules.edit_sets(made.where("batch_id = 'b-c'"))).first().fix_withheld == rules.UNPROVED
+    other = made.withColumn("replacement", F.col("batch_id"))
+    assert rules.aggregate_findings(found, rules.edit_sets(other)).first().fix_withheld == rules.DIFFERENT
+
+
+def test_columns_with_the_engines_names_stay(spark):
+    left = Selection(spark.createDataFrame([(1, "a", "x", "y", "z", 0)], "id int, name string, _own string, _key string, _nth string, _side int"), ("id",))
+    right = spark.createDataFrame([("a", "r")], "other string, _key2 string")
+    assert left.join(right, "name", "other").rows.first()["_own"] == "x" and left.without_matching(right, "name", "_key2").rows.columns == left.rows.columns
+    assert left.union(left).rows.columns == left.rows.columns and left.union(left).rows.count() == 1
+
+
+def test_a_reviewed_outcome_is_joined(spark):
+    df = place(spark, ("c", "a", 1, "k"), ("d", "a", 1, "k"))
+    found = rules.RuleCatalog().rule("R", rules.Clause(df, "m")).evaluate().withColumn("outcome_remediation", F.when(F.col("context_id") == "c", "do it"))
+    assert rules.aggregate_findings(found).first().outcome_remediation == "do it; m"
