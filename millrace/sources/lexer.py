@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ TOKEN = re.compile(
     re.S | re.M,
 )
 TOKENS = "context_id string, document_id string, ordinal int, kind string, start int, length int, text string"
+SCHEMA = pa.schema([(n, pa.string() if t == "string" else pa.int32()) for n, t in (c.split() for c in TOKENS.split(", "))])
 
 
 def utf16(text: str) -> int:
@@ -39,16 +40,28 @@ def lex(text: str) -> Iterator[tuple[str, int, int, str]]:
         yield m.lastgroup, start, length, m[0]
 
 
+#: Tokens of one Arrow batch, about.
+BATCH = 50_000
+
+
 def tokens(documents: DataFrame) -> DataFrame:
     """Tokens of each document (context_id, document_id, text), comments and directives among them."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in TOKENS.split(", ")]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in SCHEMA]
         for batch in batches:
-            for context, document, text in batch.itertuples(index=False):  # one document's tokens at a time
-                yield pd.DataFrame([(context, document, i, *t) for i, t in enumerate(lex(text or ""))], columns=names)
-
-    return documents.select("context_id", "document_id", "text").mapInPandas(each, TOKENS)
+            for context, document, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = list(zip(*lex(text or ""), strict=True))
+                if found:
+                    n = len(found[0])
+                    for column, values in zip(columns, ([context] * n, [document] * n, range(n), *found), strict=True):
+                        column.extend(values)
+                if len(columns[0]) >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+                    columns = [[] for _ in SCHEMA]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+
+    return documents.select(*[F.col(c).cast("string").alias(c) for c in ("context_id", "document_id", "text")]).mapInArrow(each, TOKENS)
 
 
 def comments(documents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import fingerprint, glob_regex, utf16_order
+from millrace.operators.graph import has_cycle
 
 VERSION = 6
 DOCUMENT = "document_id string, path string, text string, is_generated boolean, file_identity string, is_editable boolean, fingerprint string, encoding_name string, has_bom boolean, is_default_compile_item boolean"
@@ -57,6 +58,12 @@ def read_snapshot(spark: SparkSession, path: str, version: int = VERSION) -> Sna
     twice = documents.groupBy("document_id").count().where("count > 1")
     if not twice.isEmpty():
         raise ValueError("document ids repeat")
+    if not contexts.groupBy("context_id").count().where("count > 1 or context_id is null").isEmpty():
+        raise ValueError("context ids repeat")
+    if not edges.join(contexts.select(F.col("context_id").alias("dst")), "dst", "left_anti").isEmpty():
+        raise ValueError("a context refers to one that is not there")
+    if has_cycle(edges):
+        raise ValueError("contexts refer to each other in a circle")
     return Snapshot(contexts, edges, packages, documents)
 
 
@@ -104,3 +111,29 @@ def render(rows: Iterator) -> Iterator[str]:
             yield f"  {escaped(file)}"
         place = str(r["line"]) if r["column"] == 1 else f"{r['line']}:{r['column']}"
         yield f"    {place}{' +' if r['batch_id'] else ''}{' (review)' if r['disposition'] == 'Review' else ''}"
+
+
+def render_status(rows: Iterator) -> Iterator[str]:
+    """Lines of a status report from (project_path, fix_complexity, n) by project: its total, then each complexity."""
+    own: dict[str, list] = {}
+    for r in rows:
+        own.setdefault(r["project_path"], []).append((r["fix_complexity"], r["n"]))
+    for project, kinds in own.items():
+        yield f"{escaped(project)}: {sum(n for _, n in kinds)}"
+        for kind, n in sorted(kinds, key=lambda x: (x[0] is None, x[0] or "")):
+            yield f"  {kind or 'unspecified'}: {n}"
+
+
+def response_documents(findings: DataFrame, contexts: DataFrame, edits: DataFrame, protocol: int = 11) -> DataFrame:
+    """The response in one JSON text for each context: its findings in order, and the batches that they propose with their edits.
+
+    A context without findings answers too.
+    """
+    columns = [c for c in findings.columns if c != "context_id"]
+    order = F.struct("rule_id", utf16_order(F.col("path")).alias("_path"), "start", "ordinal", F.struct(*columns).alias("finding"))
+    own = findings.groupBy("context_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["finding"]).alias("findings"))
+    used = findings.where("batch_id is not null").select("context_id", "batch_id").distinct().join(edits, "batch_id")
+    batches = used.groupBy("context_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct("file_identity", "start", "length", "replacement"))).alias("edits"))
+    batches = batches.groupBy("context_id").agg(F.array_sort(F.collect_list(F.struct("batch_id", "edits"))).alias("batches"))
+    joined = contexts.select("context_id").join(own, "context_id", "left").join(batches, "context_id", "left")
+    return joined.select(F.to_json(F.struct(F.lit(protocol).alias("version"), "context_id", "findings", "batches")).alias("value"))

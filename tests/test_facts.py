@@ -55,9 +55,11 @@ def test_scopes_views_and_properties(spark):
     made = spark.createDataFrame([("I", 1, "X")], "interface string, view_id int, type string")
     assert rows(facts.implementation_views(views, made)) == [("I", 1, "X"), ("I", 2, None)]
     lineage = facts.ancestors(spark.createDataFrame([("B", "A")], "type string, base string"))
-    props = spark.createDataFrame([("A", "p"), ("A", "q"), ("B", "p")], "owner string, name string")
+    props = spark.createDataFrame([("A", "p", "x", "f", 1), ("A", "q", "x", "f", 2), ("B", "p", "x", "f", 3)], "owner string, name string, project string, path string, start int")
     reached = spark.createDataFrame([("s1", "B"), ("s2", "B")], "seed string, type string")
-    assert rows(facts.property_views(reached, props, lineage)) == [("B", "A", "q", ["s1", "s2"]), ("B", "B", "p", ["s1", "s2"])]
+    made = facts.property_views(reached, props, lineage)
+    assert rows(made, "type", "owner", "name", "reached_from") == [("B", "A", "q", ["s1", "s2"]), ("B", "B", "p", ["s1", "s2"])]
+    assert [r.start for r in facts.property_view_order(made).collect()] == [2, 3]
 
 
 def test_paths_parents_and_routes(spark):
@@ -71,3 +73,27 @@ def test_paths_parents_and_routes(spark):
     assert rows(facts.routes(mappings, groups)) == [(1, "/api/v1/x"), (2, "/y"), (3, None), (4, None)]
     kinds = spark.createDataFrame([("Task",), ("Task<int>",), ("int",)], "t string")
     assert [r[0] for r in kinds.select(facts.unwrap_task(F.col("t"))).collect()] == [None, "int", "int"]
+
+
+def test_fact_tables_are_checked_and_scoped(spark, tmp_path):
+    import pytest
+
+    from millrace.sources.fact_tables import TABLES, Facts
+
+    contexts = spark.createDataFrame([("c", "P", "p.proj", "n9", True, False, None), ("r", "R", "r.proj", "n9", False, False, None)], TABLES["contexts"])
+    documents = spark.createDataFrame([("c", "d1", "b.cs", "", False, "f1"), ("c", "d2", "a.cs", "", True, "f2"), ("r", "d3", "c.cs", "", False, "f3")], TABLES["documents"])
+    checks = spark.createDataFrame([("c", "d1", 3, 2, "is", False), ("c", "d2", 3, 2, "is", False), ("r", "d3", 3, 2, "is", False)], TABLES["null_checks"])
+    made = Facts({"contexts": contexts, "documents": documents, "null_checks": checks})
+    made.write(str(tmp_path))
+    back = Facts.read(spark, str(tmp_path), ("contexts", "documents", "null_checks"))
+    assert rows(back.files().rows, "document_id") == [("d1",)] and rows(back.files(including_generated=True).rows, "document_id") == [("d1",), ("d2",)]
+    assert rows(back.reported("null_checks").rows, "document_id") == [("d1",)] and rows(back.projects().rows, "context_id") == [("c",)]
+    checks.drop("form").write.mode("overwrite").parquet(str(tmp_path / "null_checks"))
+    with pytest.raises(ValueError, match="form"):
+        Facts.read(spark, str(tmp_path), ("null_checks",))
+
+
+def test_long_chains_of_conversions(spark):
+    chain = spark.createDataFrame([(i, i + 1, i < 100) for i in range(101)] + [(500, None, True)], "id int, parent int, skip boolean")
+    got = dict(rows(facts.follow_parents(chain.select("id"), chain, F.col("skip"))))
+    assert got == {i: 100 for i in range(101)} | {500: None}

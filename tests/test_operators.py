@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,108 @@ def test_traversal_limits(spark):
     assert rows(graph.traverse(names(spark, "a"), e, stop=names(spark, "b")), "node") == [("a",), ("b",)]
 
 
+def test_a_traversal_ends_at_its_limit_in_the_order_of_the_queue(spark):
+    edges = spark.createDataFrame([("a", "z", 0), ("a", "b", 1), ("a", None, 2), ("z", "y", 0)], "src string, dst string, ordinal int")
+    seeds = spark.createDataFrame([("a",)], "seed string")
+    assert rows(graph.traverse(seeds, edges, most_states=2), "node", "status") == [("a", graph.STATE_LIMIT), ("z", graph.STATE_LIMIT)]
+    assert rows(graph.traverse(seeds, edges, most_states=3), "node", "status") == [(n, graph.UNRESOLVED | graph.STATE_LIMIT) for n in "abz"]
+    assert rows(graph.traverse(seeds, edges, most_states=4), "node", "status") == [(n, graph.UNRESOLVED) for n in "abyz"]
+    assert rows(graph.traverse(seeds, edges, most_depth=1), "node", "status") == [(n, graph.UNRESOLVED | graph.DEPTH_LIMIT) for n in "abz"]
+    kept = graph.traverse(spark.createDataFrame([("a",), (None,)], "seed string"), edges, stop=spark.createDataFrame([("z",)], "node string"))
+    assert rows(kept, "seed", "node", "status") == [("a", "a", 1), ("a", "b", 1), ("a", "z", 1), (None, None, 1)]
+
+
+def test_components_and_cycles(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (60, 60)], "a int, b int")
+    got = dict(rows(graph.connected(links)))
+    assert got == {i: 0 for i in range(21)} | {50: 50, 51: 50, 60: 60}
+    line = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src int, dst int")
+    assert not graph.has_cycle(line) and graph.has_cycle(line.union(spark.createDataFrame([(3, 1)], "src int, dst int")))
+    assert graph.has_cycle(spark.createDataFrame([(9, 9)], "src int, dst int")) and not graph.has_cycle(line.limit(0))
+
+
+def test_inputs_end_at_boundaries(spark):
+    made = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("b", "a", 0), ("c", "d", 0)], "src string, dst string, ordinal int")
+    start = spark.createDataFrame([("a",), ("x",)], "n string")
+    got = graph.traverse_inputs(start, made)
+    assert rows(got, "start", "path", "node", "is_boundary") == [("a", [0, 0], "a", True), ("a", [1, 0], "d", False), ("x", [], "x", False)]
+
+
+def test_greedy_query_against_plain_python(spark):
+    import pandas as pd
+
+    from millrace import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data here")
+    frame = pd.read_parquet(f"{data}/customer.parquet")
+    want = {}
+    for nation, group in frame.groupby("c_nationkey"):
+        heads = []
+        for row in group.sort_values("c_custkey").itertuples():
+            balance = int(row.c_acctbal // 1)
+            found = next((i for i, h in enumerate(heads) if abs(h - balance) <= 3000), None)
+            if found is None:
+                found = len(heads)
+                heads.append(balance)
+            want[nation, row.c_custkey] = found
+    got = {(r.c_nationkey, r.c_custkey): r.part for r in queries.QUERIES["q_greedy_parts"](spark, data).collect()}
+    assert got == want
+
+
+def test_token_kinds_query_against_plain_python(spark):
+    from collections import Counter
+
+    import pandas as pd
+
+    from millrace import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data here")
+    want = Counter()
+    for value in pd.read_parquet(f"{data}/documents.parquet")["text"]:
+        want.update(kind for kind, *_ in lexer.lex(value or ""))
+    assert dict(rows(queries.QUERIES["q_token_kinds"](spark, data), "kind", "n")) == dict(want)
+
+
+def test_combined_fixes_keep_what_is_safe_together(spark):
+    batches = spark.createDataFrame([("c1", "a"), ("c1", "b"), ("c1", "x"), ("c2", "d")], "component string, batch_id string")
+    assert edits.combined(batches, lambda ids: "x" not in ids or len(ids) == 1) == ["a", "b", "d"]
+
+
+def test_targets(tmp_path):
+    from millrace.sources import targets
+
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.csproj").write_text("")
+    assert targets.resolve(str(tmp_path / "one")) == str(tmp_path / "one" / "a.csproj")
+    (tmp_path / "one" / "b.csproj").write_text("")
+    with pytest.raises(ValueError):
+        targets.resolve(str(tmp_path / "one"))
+    (tmp_path / "one" / "all.slnx").write_text("")
+    assert targets.resolve(str(tmp_path / "one")).endswith("all.slnx")
+    assert targets.expand(str(tmp_path), "**/*.csproj") == [str(tmp_path / "one" / "a.csproj"), str(tmp_path / "one" / "b.csproj")]
+    with pytest.raises(ValueError):
+        targets.expand(str(tmp_path), "*.nothing")
+
+
+def test_accepted_sources_from_a_folder_and_a_revision(spark, tmp_path):
+    import subprocess
+
+    from millrace.sources import targets
+
+    (tmp_path / "a.cs").write_text("class A {}")
+    git = lambda *x: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *x], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "a.cs")
+    git("commit", "-qm", "one")
+    (tmp_path / "a.cs").write_text("class B {}")
+    assert rows(targets.accepted_revision(spark, str(tmp_path), "HEAD", "**/*.cs"), "path", "text") == [("a.cs", "class A {}")]
+    assert rows(targets.accepted_folder(spark, str(tmp_path), "**/*.cs"), "path", "text") == [("a.cs", "class B {}")]
+
+
 def test_call_policies(spark):
     sites = spark.createDataFrame([("f", 0, "t", "g", False), ("f", 1, "u", "h", True), ("f", 2, "i", None, False)], "caller string, ordinal int, target string, callee string, deferred boolean")
     assert rows(graph.call_edges(sites), "dst") == [("g",)]
@@ -113,8 +216,8 @@ def test_overlaps_and_containment(spark):
     assert rows(spans.overlap_pairs(e, "file", "id"), "a", "b") == [(1, 3), (2, 3), (2, 4)]
     inner = spark.createDataFrame([("d", 5, 6)], "doc string, start int, end int")
     outer = spark.createDataFrame([("d", 0, 10, "wide"), ("d", 4, 8, "near"), ("d", 3, 7, "early"), ("x", 5, 6, "other")], "doc string, o_start int, o_end int, name string")
-    for width in (None, 2, 100):
-        joined = spans.containment_join(inner, outer, ["doc"], bin_width=width)
+    for bins in (False, True):
+        joined = spans.containment_join(inner, outer, ["doc"], bins)
         assert rows(joined, "name") == [("early",), ("near",), ("wide",)]
         assert rows(spans.innermost(joined, ["doc", "start"]), "name") == [("near",)]
 
@@ -132,6 +235,51 @@ def test_changes(spark):
     assert rows(changes.change_of(now, before, ["p"], F.col("t"), F.col("t")), "p", "change") == [("a", "Unchanged"), ("b", "Modified"), ("c", "Added")]
 
 
+def test_a_null_content_was_there_and_a_key_is_shown_once(spark):
+    now = spark.createDataFrame([("a", None), ("b", "2"), (None, "n")], "p string, t string")
+    before = spark.createDataFrame([("a", None), ("b", "1"), ("b", "2"), (None, "n")], "p string, t string")
+    got = changes.change_of(now, before, ["p"], F.col("t"), F.col("t"))
+    assert got.count() == 3 and rows(got.where("p <> 'b'"), "p", "change") == [("a", "Unchanged")] and got.columns == ["p", "t", "change"]
+    assert [r.change for r in got.where("p is null").collect()] == ["Unchanged"]
+
+
+def test_baselines_normalise_paths_and_project_keys(spark):
+    key = lambda props: changes.project_key(F.lit("a\\b.proj"), F.lit("n9"), props)
+    one = F.create_map(F.lit("k"), F.lit("1"), F.lit("J"), F.lit("2"))
+    two = F.create_map(F.lit("j"), F.lit("2"), F.lit("K"), F.lit("1"))
+    got = spark.range(1).select(key(one).alias("x"), key(two).alias("y"), key(F.create_map(F.lit("j"), F.lit("21"))).alias("z")).first()
+    assert got.x == got.y and got.x != got.z and got.x.startswith("a/b.proj|n9|")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 200])
+def test_overlaps_against_all_pairs(spark, n):
+    import random
+
+    r = random.Random(n)
+    made = [("f" if r.random() < 0.8 else "g", i, r.randrange(400), r.choice((0, 0, 1, 5, 60, 300))) for i in range(n)]
+    want = set()
+    for f, i, a, x in made:
+        for g, j, b, y in made:
+            if f == g and i < j and ((a <= b + y and b <= a + x) if not x or not y else (a < b + y and b < a + x)):
+                want.add((i, j))
+    e = spark.createDataFrame(made, "file string, id int, start int, length int")
+    found = spans.overlap_pairs(e, "file", "id", width=16)
+    assert sorted((x.a, x.b) for x in found.collect()) == sorted(want)
+
+
+def test_containment_on_every_level(spark):
+    import random
+
+    r = random.Random(7)
+    outer = [("d", i, a, a + r.choice((0, 3, 255, 256, 257, 5_000, 70_000, 2_000_000, 900_000_000))) for i, a in enumerate(r.randrange(0, 1_000_000) for _ in range(200))]
+    inner = [("d", i, a, a + r.choice((0, 2, 300))) for i, a in enumerate(r.randrange(0, 1_200_000) for _ in range(200))]
+    want = {(i, j) for _, i, a, b in inner for _, j, c, e in outer if c <= a and b <= e}
+    x = spark.createDataFrame(inner, "doc string, id int, start long, end long")
+    y = spark.createDataFrame(outer, "doc string, of int, o_start long, o_end long")
+    got = [(v.id, v.of) for v in spans.containment_join(x, y, ["doc"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_evidence(spark):
     df = spark.createDataFrame([("d", 1, 2, "Covered"), ("d", 2, 3, "Uncovered"), ("e", 1, 1, "Unknown")], "doc string, first_line int, last_line int, state string")
     assert rows(evidence.measure_lines(df, ["doc"])) == [("d", 1, 3, True), ("e", 0, 1, False)]
@@ -168,14 +316,30 @@ def test_lexer(spark):
 def test_snapshots(spark, tmp_path):
     docs = spark.createDataFrame([("c1", "d1", "a.cs", "x", False, "f1", True, "F", "utf-8", False, True), ("c1", "d2", "b.cs", "y", True, "f2", True, "F", "utf-8", False, True)], f"context_id string, {snapshots.DOCUMENT}")
     contexts = spark.createDataFrame([("c1", "n", "n", "p.csproj", "net9", True, False, 1, 12, 2, ["A"], {"k": "v"})], "context_id string, name string, assembly_name string, project_path string, target_framework string, is_analysis_target boolean, is_test_project boolean, nullable_context int, language_version int, output_kind int, preprocessor_symbols array<string>, properties map<string,string>")
-    edges_ = spark.createDataFrame([("c1", "c0")], "src string, dst string")
+    edges_ = spark.createDataFrame([], "src string, dst string")
     packs = spark.createDataFrame([("c1", "P", "1.0")], "context_id string, id string, version string")
     path = str(tmp_path / "s")
     snapshots.write_snapshot(snapshots.Snapshot(contexts, edges_, packs, docs), path)
     back = snapshots.read_snapshot(spark, path)
-    assert rows(back.files, "document_id") == [("d1",)] and rows(back.context_edges) == [("c1", "c0")] and rows(back.packages, "id") == [("P",)]
+    assert rows(back.files, "document_id") == [("d1",)] and rows(back.context_edges) == [] and rows(back.packages, "id") == [("P",)]
     with pytest.raises(ValueError):
         snapshots.read_snapshot(spark, path, version=7)
+    for n, wrong in enumerate(([("c1", "c0")], [("c1", "c1")])):
+        bad = f"{path}{n}"
+        snapshots.write_snapshot(snapshots.Snapshot(contexts, spark.createDataFrame(wrong, "src string, dst string"), packs, docs), bad)
+        with pytest.raises(ValueError):
+            snapshots.read_snapshot(spark, bad)
+
+
+def test_status_and_response_documents(spark):
+    import json
+
+    found = spark.createDataFrame([("c", "R", "b", 2, 0, "x"), ("c", "R", "a", 9, 1, None)], "context_id string, rule_id string, path string, start int, ordinal int, batch_id string")
+    contexts = spark.createDataFrame([("c",), ("d",)], "context_id string")
+    made = spark.createDataFrame([("x", "f", 1, 0, "t")], "batch_id string, file_identity string, start int, length int, replacement string")
+    got = {v["context_id"]: v for v in (json.loads(r.value) for r in snapshots.response_documents(found, contexts, made).collect())}
+    assert [f["path"] for f in got["c"]["findings"]] == ["a", "b"] and got["c"]["batches"][0]["edits"][0]["replacement"] == "t" and got["d"]["version"] == 11
+    assert list(snapshots.render_status(iter([{"project_path": "p", "fix_complexity": None, "n": 2}, {"project_path": "p", "fix_complexity": "Local", "n": 1}]))) == ["p: 3", "  Local: 1", "  unspecified: 2"]
 
 
 def test_loose_files_and_config(spark, tmp_path):
