@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from millrace import code_queries
+
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS position FROM documents)"
 LINE_SPANS = LINES + """, line_spans AS (
   SELECT doc_id, position, coalesce(sum(length(line) + 1) OVER w, 0) AS o_start, coalesce(sum(length(line) + 1) OVER w, 0) + length(line) AS o_end
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )"""
-WORD_SPANS = "word_spans AS (SELECT doc_id, strpos(text, 'icense') - 1 AS start, strpos(text, 'icense') + 5 AS stop FROM documents WHERE strpos(text, 'icense') > 0)"
+WORD_SPANS = "word_spans AS (SELECT doc_id, i - 1 AS start, i + 5 AS stop FROM (SELECT doc_id, text, unnest(range(1, length(text) - 4)) AS i FROM documents WHERE contains(text, 'icense')) WHERE substr(text, i, 6) = 'icense')"
 SHAPES = r"""shaped AS (
   SELECT *, list_filter(regexp_split_to_array(lower(text), '[ \n\t\r]+'), lambda w: w <> '') AS w FROM documents
 ), repeated AS (
@@ -62,11 +64,18 @@ ORACLES = {
     "q_join_folded_key": "SELECT p_partkey, p_type, class FROM part JOIN (VALUES ('Economy', 'cheap'), ('PROMO', 'offer'), ('standard', 'plain'), (NULL, 'none')) k(kind, class) ON lower(p_type) = lower(kind)",
     "q_without_matching_key": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id IS NOT DISTINCT FROM d.doc_id)",
     "q_without_matching_theta": "SELECT o_orderkey, o_custkey FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND (b.o_orderdate > a.o_orderdate OR (b.o_orderdate = a.o_orderdate AND b.o_orderkey > a.o_orderkey)))",
-    "q_set_missing": "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier",
+    "q_set_missing": """
+      WITH want AS (SELECT lower(c_mktsegment) AS word, c_custkey AS nth FROM customer UNION ALL SELECT upper(p_type[1]) || lower(p_type[2:]), p_partkey FROM part)
+      SELECT arg_min(word, nth) AS word FROM want WHERE lower(word) NOT IN (SELECT lower(p_type) FROM part WHERE p_size > 10) GROUP BY lower(word)""",
     "q_set_unexpected": "SELECT s_nationkey AS nation FROM supplier EXCEPT SELECT r_regionkey FROM region",
-    "q_place_filters": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/]+)', 1) LIKE '%.com' OR contains(url, '/0')",
+    "q_place_filters": r"""
+      WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)
+      SELECT page_id, host FROM p WHERE list_contains(string_split(path, '/')[:-2], 'en') OR regexp_full_match(host, 'm\.[^/]*\.net')""",
     "q_constant_groups": "SELECT p_brand, p_type, p_partkey, CAST(count(*) OVER (PARTITION BY p_brand, p_type) AS BIGINT) AS n FROM part QUALIFY n >= 2",
-    "q_template_groups": "SELECT regexp_replace(url, '[0-9]+', '{}', 'g') AS template, count(*) AS n FROM pages WHERE len(regexp_extract_all(url, '[0-9]+')) = 1 GROUP BY 1",
+    "q_template_groups": r"""
+      WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+') AS scheme, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '') AS path FROM pages),
+      t AS (SELECT page_id, scheme, regexp_replace(path, '[0-9]+', '{}') AS template FROM p WHERE len(regexp_extract_all(path, '[0-9]+')) = 1)
+      SELECT *, count(*) OVER (PARTITION BY scheme, template) AS n FROM t QUALIFY n >= 2""",
     "q_duplicates": f"WITH {SHAPES} SELECT doc_id, lang, copies FROM repeated",
     "q_membership": """
       SELECT doc_id, string_agg(DISTINCT g, ';' ORDER BY g) AS groups, count(DISTINCT g) AS n FROM (
@@ -99,10 +108,10 @@ ORACLES = {
     "q_findings": f"WITH {FINDINGS} SELECT rule_id, context_id, path, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, message, disposition, evidence, fix_complexity FROM found",
     "q_aggregate_findings": f"""
       WITH {FINDINGS}, everywhere AS (
-        SELECT * FROM found UNION ALL SELECT * REPLACE ('second' AS context_id, 'Review' AS disposition, 'seen again' AS evidence) FROM found
+        SELECT * FROM found UNION ALL SELECT * REPLACE ('second' AS context_id, 'Review' AS disposition, 'seen again' AS evidence, 'Architectural' AS fix_complexity) FROM found
       )
       SELECT rule_id, path, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, message, CASE WHEN bool_and(disposition = 'Review') THEN 'Review' ELSE 'Violation' END AS disposition,
-             string_agg(DISTINCT evidence, '; ' ORDER BY evidence) AS evidence, min(fix_complexity) AS fix_complexity, count(DISTINCT context_id) AS contexts
+             string_agg(DISTINCT evidence, '; ' ORDER BY evidence) AS evidence, arg_min_null(fix_complexity, context_id) AS fix_complexity, count(DISTINCT context_id) AS contexts
       FROM everywhere GROUP BY rule_id, path, start, length, message""",
     "q_status": f"""
       WITH {FINDINGS}, places AS (SELECT 'corpus/' || context_id AS project_path, rule_id, path, start, length, message, min(fix_complexity) AS fix_complexity FROM found WHERE disposition = 'Violation' GROUP BY ALL)
@@ -112,7 +121,11 @@ ORACLES = {
       WITH accepted AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'X' ELSE o_orderstatus END || '|' || o_orderpriority AS content FROM orders WHERE o_orderpriority <> '1-URGENT')
       SELECT o_orderkey, CASE WHEN content IS NULL THEN 'Added' WHEN content = o_orderstatus || '|' || o_orderpriority THEN 'Unchanged' ELSE 'Modified' END AS change
       FROM orders LEFT JOIN accepted USING (o_orderkey)""",
-    "q_changed_symbols": "SELECT l_orderkey, string_agg(l_returnflag || ':' || l_linestatus, chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag || ':' || l_linestatus) AS part FROM lineitem GROUP BY l_orderkey",
+    "q_changed_symbols": """
+      WITH parts AS (SELECT l_orderkey AS symbol, 'f' || l_linenumber AS path, l_partkey AS start, l_returnflag || ':' || l_linestatus AS text, l_shipdate AS shipped FROM lineitem),
+      now AS (SELECT symbol, string_agg(text, chr(10) ORDER BY path, start, text) AS text FROM parts GROUP BY symbol),
+      old AS (SELECT symbol, string_agg(text, chr(10) ORDER BY path, start, text) AS text FROM (SELECT * REPLACE (CASE WHEN start % 5 = 0 THEN 'N:F' ELSE text END AS text) FROM parts WHERE shipped < TIMESTAMP '2001-01-01') GROUP BY symbol)
+      SELECT CAST(symbol AS VARCHAR) AS symbol, CASE WHEN old.text IS NULL THEN 'Added' WHEN old.text = now.text THEN 'Unchanged' ELSE 'Modified' END AS change FROM now LEFT JOIN old USING (symbol)""",
     "q_merge_points": f"WITH {RANGES} SELECT user_id, day, {MERGED} FROM ranges GROUP BY user_id, day",
     "q_merge_ranges": f"WITH {RANGES}, each AS (SELECT user_id, first_line, last_line, day, {MERGED} FROM ranges GROUP BY ALL) SELECT user_id, first_line, last_line, {MERGED} FROM each GROUP BY user_id, first_line, last_line",
     "q_line_measure": f"""
@@ -126,7 +139,7 @@ ORACLES = {
       own AS (SELECT doc_id, start, bool_and(state = 'Uncovered') AS none, bool_or(state = 'Unknown') AS unsure, max(state) FILTER (WHERE o_start = start AND o_end = stop) AS exact
         FROM word_spans JOIN held USING (doc_id) WHERE o_start <= start AND o_end >= stop GROUP BY doc_id, start)
       SELECT doc_id, start, CASE WHEN none IS NULL THEN 'Unknown' WHEN none THEN 'Uncovered' WHEN unsure THEN 'Unknown' ELSE coalesce(exact, 'Unknown') END AS evidence_state,
-             CASE WHEN none IS NULL THEN 'MissingRange' WHEN none THEN NULL WHEN unsure THEN 'UnknownRange' WHEN exact IS NULL THEN 'UnsupportedExpressionMapping' END AS evidence_reason
+             CASE WHEN none IS NULL THEN 'MissingRange' WHEN none THEN NULL WHEN unsure THEN 'PartialRange' WHEN exact IS NULL THEN 'UnsupportedExpressionMapping' END AS evidence_reason
       FROM word_spans LEFT JOIN own USING (doc_id, start)""",
     "q_planning_algebra": """
       WITH p AS (SELECT event_id, event_type = 'click' AS lt, event_type <> 'click' AS lf, true AS rt, value < 90 AS rf FROM events),
@@ -150,10 +163,12 @@ ORACLES = {
       UNION ALL SELECT 'n' || n, 'c' || c_custkey, 1, CAST(status AS INTEGER) FROM flags JOIN customer ON c_nationkey = n""",
     "q_conflict_groups": "SELECT n_nationkey AS node, n_nationkey % 5 AS component FROM nation",
     "q_reaching_defs": """
-      WITH RECURSIVE flow(src, dst) AS (VALUES (0, 1), (1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5)), made(block, variable, definition) AS (VALUES (0, 'x', 1), (0, 'y', 2), (2, 'x', 3), (3, 'y', 4), (4, 'z', 6)), into_(block, variable, definition) AS (
+      WITH RECURSIVE flow(src, dst) AS (
+        SELECT n_nationkey, n_nationkey + 5 FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, n_nationkey - 20 FROM nation WHERE n_nationkey >= 20 UNION ALL SELECT n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey < 4
+      ), made(block, variable, definition) AS (SELECT s_nationkey, 'v' || (s_suppkey % 4), max(s_suppkey) FROM supplier GROUP BY ALL), into_(block, variable, definition) AS (
         SELECT dst, variable, definition FROM made JOIN flow ON block = src
         UNION SELECT dst, i.variable, i.definition FROM into_ i JOIN flow ON i.block = src WHERE NOT EXISTS (SELECT 1 FROM made k WHERE k.block = i.block AND k.variable = i.variable)
-      ) SELECT block, variable, definition FROM into_""",
+      ) SELECT CAST(block AS INTEGER) AS block, variable, CAST(definition AS INTEGER) AS definition FROM into_""",
     "q_batch_ids": f"""
       WITH {EDITS}, parts AS (SELECT CAST(edit_id AS VARCHAR) AS proposal, [file_identity, CAST(start AS VARCHAR), CAST(length AS VARCHAR), 'x'] AS p FROM edits)
       SELECT proposal, upper(sha256(array_to_string(list_transform(p, lambda x: length(x) || ':' || x), ''))) AS batch_id FROM parts""",
@@ -162,9 +177,10 @@ ORACLES = {
     "q_glob": r"SELECT page_id FROM pages WHERE regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '\A([^\n]*/)?[^/]*1[^/]*\z') OR regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '\A[^/]*/[^/][^/]*/([^\n]*/)?[^/]*1\z')",
     "q_identifier_words": "SELECT c_custkey, concat_ws(' ', 'Customer', substr(c_name, 10), upper(c_mktsegment[1]) || lower(c_mktsegment[2:]), 'HTTP', 'Key', c_nationkey) AS words FROM customer",
     "q_namespace_match": "SELECT doc_id FROM documents WHERE lang = 'en' OR (lang = 'de' AND source = 'src1')",
-    "q_line_and_column": """
-      SELECT doc_id, CAST(len(string_split(head, chr(10))) AS BIGINT) AS line, CAST(length(string_split(head, chr(10))[-1]) + 1 AS BIGINT) AS "column"
-      FROM (SELECT doc_id, substr(text, 1, strpos(text, 'icense') - 1) AS head FROM documents WHERE strpos(text, 'icense') > 0)""",
+    "q_line_and_column": f"""
+      WITH {WORD_SPANS}
+      SELECT doc_id, start, CAST(len(string_split(head, chr(10))) AS BIGINT) AS line, CAST(length(string_split(head, chr(10))[-1]) + 1 AS BIGINT) AS "column"
+      FROM (SELECT doc_id, start, substr(text, 1, start) AS head FROM word_spans JOIN documents USING (doc_id))""",
     "q_fingerprints": "SELECT doc_id, upper(sha256(text)) AS fingerprint, CAST(length(text) AS BIGINT) AS units FROM documents",
     "q_allowance_parse": """
       SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand || '+' || p_type ELSE '' END AS rules, CASE WHEN p_size < 40 THEN p_name ELSE '' END AS reason,
@@ -181,4 +197,27 @@ ORACLES = {
         OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A')""",
     "q_references_to": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#2'",
     "q_routes": "SELECT s_suppkey AS route_id, CASE WHEN r_name <> 'ASIA' THEN concat('/', r_name, '/', n_name, '/', s_name) END AS route FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "q_sets_are_equal": """
+      WITH x AS (SELECT count(*) AS n FROM (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation)), y AS (SELECT count(*) AS m FROM (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer))
+      SELECT n + m = 0 AS are_equal, n AS missing, m AS unexpected FROM x, y""",
+    "q_previous_accessibility": """
+      WITH old AS (SELECT l_orderkey, min(CASE WHEN l_tax > 0.04 THEN 'public' ELSE 'internal' END) AS previous FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-01-01' GROUP BY l_orderkey)
+      SELECT CAST(l_orderkey AS VARCHAR) AS symbol, previous FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN old USING (l_orderkey)""",
+    "q_changed_files": "SELECT doc_id, 'src/' || doc_id AS path, CASE WHEN n_chars % 3 = 0 THEN 'Added' ELSE 'Modified' END AS change FROM documents WHERE n_chars % 3 = 0 OR n_chars % 2 = 0",
+    "q_compatible_views": """
+      WITH sets AS (
+        SELECT n_regionkey AS framework, list(n_nationkey ORDER BY n_nationkey) AS all_roots FROM nation GROUP BY n_regionkey
+      ), subsets AS (
+        SELECT framework, all_roots, list_filter(all_roots, lambda x, i: (m >> (i - 1)) & 1 = 1) AS roots FROM sets, range(1, 32) r(m)
+      ), cliques AS (
+        SELECT DISTINCT framework, all_roots, roots FROM subsets WHERE list_max(roots) - list_min(roots) <= 10
+      )
+      SELECT framework, array_to_string(list_sort(list_transform(roots, lambda x: x)), ',') AS roots FROM cliques c
+      WHERE NOT EXISTS (SELECT 1 FROM cliques d WHERE d.framework = c.framework AND len(d.roots) > len(c.roots) AND list_has_all(d.roots, c.roots))""",
+    "q_view_contexts": """
+      WITH RECURSIVE reach(framework, context_id) AS (
+        SELECT n_regionkey, n_nationkey FROM nation UNION SELECT framework, context_id // 2 FROM reach WHERE context_id > 0
+      ) SELECT framework, context_id FROM reach""",
 }
+
+ORACLES |= code_queries.ORACLES

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace import code_queries
 from millrace.functions import allowances, text
 from millrace.operators import catalogue, changes, edits, evidence, facts, graph, grouping, spans
 from millrace.plans import rules
@@ -102,7 +104,16 @@ def without_matching_theta(spark, d):
 
 @query
 def set_missing(spark, d):
-    return grouping.missing(read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")), "nation")
+    ordered, shown = read(spark, d, "customer"), read(spark, d, "part")
+    want = ordered.select(F.lower("c_mktsegment").alias("word"), F.col("c_custkey").alias("at")).unionByName(shown.select(F.initcap("p_type").alias("word"), F.col("p_partkey").alias("at")))
+    have = shown.where("p_size > 10").select(F.upper("p_type").alias("word"))
+    return grouping.missing(want, have, "word", F.lower, order="at")
+
+
+@query
+def sets_are_equal(spark, d):
+    nations = read(spark, d, "customer").select(F.col("c_nationkey").alias("nation"))
+    return grouping.are_equal(nations, read(spark, d, "nation").select(F.col("n_nationkey").alias("nation")), "nation")
 
 
 @query
@@ -112,9 +123,9 @@ def set_unexpected(spark, d):
 
 @query
 def place_filters(spark, d):
-    pages = Selection(read(spark, d, "pages"), ("page_id",))
-    host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
-    return pages.where(where(host.endswith(".com")) | where(F.col("url").contains("/0"))).select(host.alias("host")).rows
+    host, path = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1), F.regexp_replace("url", r"^[a-z]+://|[?#].*$", "")
+    pages = Selection(read(spark, d, "pages").select("page_id", host.alias("host"), path.alias("path")), ("page_id",))
+    return pages.where(where(text.in_folder(F.col("path"), "en")) | where(text.matches_glob(F.col("host"), "m.*.net"))).select("host").rows
 
 
 # Grouping --------------------------------------------------------------------
@@ -127,8 +138,10 @@ def constant_groups(spark, d):
 
 @query
 def template_groups(spark, d):
-    pages = read(spark, d, "pages").withColumn("template", text.template_key(F.col("url")))
-    return pages.where("template is not null").groupBy("template").agg(F.count(F.lit(1)).alias("n")).where("n >= 1")
+    scheme = F.regexp_extract("url", "^[a-z]+", 0)
+    path = F.regexp_replace("url", "[?#].*$", "")
+    pages = read(spark, d, "pages").select("page_id", scheme.alias("scheme"), F.regexp_replace(path, "^[a-z]+://[^/]*", "").alias("path"))
+    return grouping.template_groups(pages, ["scheme"], text.template_key(F.col("path")), ["page_id"], 2)
 
 
 @query
@@ -157,7 +170,7 @@ def exactly_one(spark, d):
 @query
 def greedy_parts(spark, d):
     rows = read(spark, d, "customer").select("c_nationkey", "c_custkey", F.floor("c_acctbal").cast("long").alias("balance"))
-    return grouping.partition_greedily(rows, ["c_nationkey"], ["c_custkey"], lambda head, row: abs(int(head["balance"]) - int(row["balance"])) <= 3000)
+    return grouping.partition_greedily(rows, ["c_nationkey"], ["c_custkey"], lambda heads, row: np.abs(heads["balance"] - row["balance"]) <= 3000)
 
 
 @query
@@ -168,8 +181,7 @@ def sections(spark, d):
 
 @query
 def blank_lines(spark, d):
-    blank = F.count_if(F.trim("line") == "")
-    return lines(spark, d).groupBy("doc_id").agg(blank.alias("blank"), F.count(F.lit(1)).alias("n_lines"))
+    return grouping.blank_lines(lines(spark, d), ["doc_id"], "line")
 
 
 @query
@@ -200,15 +212,28 @@ def line_spans(spark, d) -> DataFrame:
     return rows.select("doc_id", "position", before.alias("o_start"), (before + F.length("line")).alias("o_end"))
 
 
+def long_lines(spark, d, least: int) -> DataFrame:
+    """Lines above a length with their offsets; only those leave their document's row."""
+    rows = read(spark, d, "documents").withColumn("lines", F.split("text", "\n"))
+    sizes = rows.withColumn("sizes", F.transform("lines", lambda x: F.length(x))).drop("lines", "text")
+    long = F.filter(F.transform("sizes", lambda n, i: F.struct(i.alias("position"), n.alias("size"))), lambda x: x["size"] > least)
+    kept = sizes.withColumn("long", long).where(F.size("long") > 0)
+    before = lambda x: F.aggregate(F.slice("sizes", F.lit(1), x["position"]), F.lit(0).cast("long"), lambda a, n: a + n + 1)
+    spans_ = F.transform("long", lambda x: F.struct(x["position"].alias("position"), before(x).alias("o_start"), (before(x) + x["size"]).alias("o_end")))
+    return kept.select("*", F.inline(spans_)).drop("sizes", "long")
+
+
 def word_spans(spark, d) -> DataFrame:
-    """First and last character of each document's first license word."""
-    at = F.locate("icense", F.col("text"))
-    return read(spark, d, "documents").where(at > 0).select("doc_id", (at - 1).cast("long").alias("start"), (at + 5).cast("long").alias("end"))
+    """First and last character of every place of a license word in each document."""
+    pieces = F.split("text", "icense", -1)
+    rows = read(spark, d, "documents").where(F.contains("text", F.lit("icense"))).select("doc_id", F.transform(pieces, lambda x: F.length(x).cast("long")).alias("sizes"))
+    at = F.transform(F.sequence(F.lit(1), F.size("sizes") - 1), lambda k: F.aggregate(F.slice("sizes", F.lit(1), k), F.lit(0).cast("long"), lambda a, n: a + n) + 6 * (k - 1))
+    return rows.select("doc_id", F.explode(at).alias("start")).select("doc_id", "start", (F.col("start") + 6).alias("end"))
 
 
 @query
 def containment(spark, d):
-    return spans.containment_join(word_spans(spark, d), line_spans(spark, d), ["doc_id"], bin_width=4096).select("doc_id", "start", "position")
+    return spans.containment_join(word_spans(spark, d), line_spans(spark, d), ["doc_id"]).select("doc_id", "start", "position")
 
 
 @query
@@ -251,12 +276,12 @@ def catalog(spark, d) -> rules.RuleCatalog:
     at = lambda rows, start, length: candidates(rows, file, start, length, F.col("lang"), F.col("doc_id"))
     repeated = grouping.duplicates(docs, ["lang"], F.array_join(words, " "), F.size(words), 12)
     unlabelled = Selection(docs, ("doc_id",)).without_matching(read(spark, d, "labels"), "doc_id", "doc_id").rows
-    long_lines = line_spans(spark, d).where("o_end - o_start > 400").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    wide = long_lines(spark, d, 400)
     return (
         rules.RuleCatalog()
         .rule("D1", rules.Clause(at(repeated, F.lit(0), F.col("n_chars")), "This text repeats", fix_complexity="Local", evidence=F.concat(F.lit("copies="), F.col("copies").cast("string"))))
         .rule("D2", rules.Clause(at(unlabelled, F.lit(0), F.col("n_chars")), "This text has no label", disposition=rules.REVIEW).forbid())
-        .rule("D3", rules.Clause(at(long_lines, F.col("o_start"), F.col("o_end") - F.col("o_start")), "This line is long", fix_complexity="Trivial").report_once_per("doc_id"))
+        .rule("D3", rules.Clause(at(wide, F.col("o_start"), F.col("o_end") - F.col("o_start")), "This line is long", fix_complexity="Trivial").report_once_per("doc_id"))
     )
 
 
@@ -269,7 +294,9 @@ def findings(spark, d):
 @query
 def aggregate_findings(spark, d):
     found = catalog(spark, d).evaluate()
-    everywhere = found.unionByName(found.withColumn("context_id", F.lit("second")).withColumn("disposition", F.lit(rules.REVIEW)).withColumn("evidence", F.lit("seen again")))
+    own = F.struct("context_id", "disposition", "evidence", F.col("fix_complexity"))
+    second = F.struct(F.lit("second").alias("context_id"), F.lit(rules.REVIEW).alias("disposition"), F.lit("seen again").alias("evidence"), F.lit("Architectural").alias("fix_complexity"))
+    everywhere = found.select(*[c for c in found.columns if c not in ("context_id", "disposition", "evidence", "fix_complexity")], F.inline(F.array(own, second)))
     merged = rules.aggregate_findings(everywhere)
     return merged.select("rule_id", "path", "start", "length", "message", "disposition", "evidence", "fix_complexity", "contexts")
 
@@ -296,10 +323,34 @@ def baseline_diff(spark, d):
     return changes.change_of(orders, accepted, ["o_orderkey"], content, content).select("o_orderkey", "change")
 
 
+def symbol_parts(spark, d) -> DataFrame:
+    """Order lines as parts of the symbols that orders are."""
+    rows = read(spark, d, "lineitem")
+    return rows.select(F.lit("p").alias("project_key"), F.col("l_orderkey").cast("string").alias("symbol"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("path"), F.col("l_partkey").alias("start"), F.concat_ws(":", "l_returnflag", "l_linestatus").alias("text"), F.when(F.col("l_tax") > 0.04, "public").otherwise("internal").alias("accessibility"), "l_shipdate")
+
+
 @query
 def changed_symbols(spark, d):
-    items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws(":", "l_returnflag", "l_linestatus").alias("part"))
-    return changes.joined_parts(items, ["l_orderkey"], ["l_linenumber", "l_partkey"], "part")
+    parts = symbol_parts(spark, d)
+    accepted = parts.where("l_shipdate < timestamp '2001-01-01'").withColumn("text", F.when(F.col("start") % 5 == 0, F.lit("N:F")).otherwise(F.col("text")))
+    none = read(spark, d, "orders").select(F.lit("p").alias("project_key"), F.lit("a").alias("path"), F.lit("t").alias("text")).limit(0)
+    return changes.Baseline(none, accepted).change_of_symbols(parts).select("symbol", "change")
+
+
+@query
+def previous_accessibility(spark, d):
+    parts = symbol_parts(spark, d)
+    none = parts.select("project_key", "path", "text").limit(0)
+    return changes.Baseline(none, parts.where("l_shipdate < timestamp '2001-01-01'")).previous_accessibility(parts.select("project_key", "symbol").distinct()).select("symbol", "previous")
+
+
+@query
+def changed_files(spark, d):
+    docs = read(spark, d, "documents")
+    key = changes.project_key(F.col("lang"), F.col("source"), F.create_map(F.lit("b"), F.lit("1"), F.lit("A"), F.lit("2")))
+    files = docs.select("doc_id", key.alias("project_key"), F.concat(F.lit("src\\"), F.col("doc_id").cast("string")).alias("path"), "text", "n_chars")
+    accepted = files.where("n_chars % 3 <> 0").withColumn("path", F.replace("path", F.lit("\\"), F.lit("/"))).withColumn("text", F.when(F.col("n_chars") % 2 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    return changes.Baseline(accepted).changed_files(files).select("doc_id", "path", "change")
 
 
 # Evidence --------------------------------------------------------------------
@@ -414,13 +465,25 @@ def compatible_views(spark, d):
     nation = read(spark, d, "nation").select(F.col("n_regionkey").alias("framework"), F.col("n_nationkey").alias("root"))
     a, b = nation.withColumnRenamed("root", "a"), nation.select(F.col("framework").alias("f"), F.col("root").alias("b"))
     pairs = a.join(b, (F.col("framework") == F.col("f")) & (F.col("a") < F.col("b")) & (F.abs(F.col("a") - F.col("b")) <= 10)).select("framework", "a", "b")
-    return graph.compatible_views(nation, pairs)
+    found = graph.compatible_views(nation, pairs)
+    return found.select("framework", "root", "view").groupBy("framework", "view").agg(F.array_join(F.array_sort(F.collect_set("root")), ",").alias("roots")).select("framework", "roots")
+
+
+@query
+def view_contexts(spark, d):
+    nation = read(spark, d, "nation").select(F.col("n_regionkey").alias("framework"), F.col("n_nationkey").alias("root"))
+    a, b = nation.withColumnRenamed("root", "a"), nation.select(F.col("framework").alias("f"), F.col("root").alias("b"))
+    pairs = a.join(b, (F.col("framework") == F.col("f")) & (F.col("a") < F.col("b"))).select("framework", "a", "b")
+    edges = read(spark, d, "nation").select(F.col("n_nationkey").alias("src"), F.expr("n_nationkey div 2").alias("dst")).where("src <> dst")
+    return graph.view_contexts(graph.compatible_views(nation, pairs), edges).select("framework", "context_id")
 
 
 @query
 def reaching_defs(spark, d):
-    flow = spark.createDataFrame([(0, 1), (1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5)], "src int, dst int")
-    made = spark.createDataFrame([(0, "x", 1), (0, "y", 2), (2, "x", 3), (3, "y", 4), (4, "z", 5), (4, "z", 6)], "block int, variable string, definition int")
+    nation = read(spark, d, "nation")  # blocks in five rings, a line between them; customers and suppliers define
+    block = F.col("n_nationkey").cast("int")
+    flow = nation.select(block.alias("src"), (block + 5).alias("dst")).where("dst < 25").unionByName(nation.where("n_nationkey >= 20").select(block.alias("src"), (block - 20).alias("dst"))).unionByName(nation.where("n_nationkey < 4").select(block.alias("src"), (block + 1).alias("dst")))
+    made = read(spark, d, "supplier").select(F.col("s_nationkey").cast("int").alias("block"), F.concat(F.lit("v"), (F.col("s_suppkey") % 4).cast("string")).alias("variable"), F.col("s_suppkey").cast("int").alias("definition"))
     return graph.reaching_definitions(flow, made)
 
 
@@ -473,9 +536,9 @@ def namespace_match(spark, d):
 
 @query
 def line_and_column(spark, d):
-    at = F.locate("icense", F.col("text"))
-    rows = read(spark, d, "documents").where(at > 0).select("doc_id", text.line_and_column(F.col("text"), at - 1).alias("p"))
-    return rows.select("doc_id", F.col("p.line").cast("long").alias("line"), F.col("p.column").cast("long").alias("column"))
+    rows = word_spans(spark, d).join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    found = rows.select("doc_id", "start", text.line_and_column(F.col("text"), F.col("start")).alias("p"))
+    return found.select("doc_id", "start", F.col("p.line").cast("long").alias("line"), F.col("p.column").cast("long").alias("column"))
 
 
 @query
@@ -542,3 +605,6 @@ def routes(spark, d):
     groups = groups.unionByName(region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("group_id"), F.lit(None).cast("string").alias("parent_group"), F.when(F.col("r_name") != "ASIA", F.concat(F.lit("/"), F.col("r_name"))).alias("prefix")))
     mappings = read(spark, d, "supplier").select(F.col("s_suppkey").alias("route_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("group_id"), F.concat(F.lit("/"), F.col("s_name")).alias("template"))
     return facts.routes(mappings, groups)
+
+
+QUERIES |= code_queries.QUERIES
