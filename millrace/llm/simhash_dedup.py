@@ -13,11 +13,18 @@ same links.
 Equal fingerprints are one vertex.  Buckets above a tile's size meet in pairs of
 tiles.  A task emits a spanning forest of the links it found, not the links.
 
+``keep_one`` decides by likeness: texts that share ``least`` or more of their
+shingles.  Such texts may differ in a quarter of their bits, too many for any
+segment to be a key, so its candidates come from rare shingles
+(``shingle_dedup``); the pigeonring over fingerprints of 256 bits prunes them
+before the full Hamming check, and the shingles themselves decide.
+
 Defined results for odd input: a null or empty text has fingerprint zero and
 links like any other; fewer words than a shingle make one shingle of all words;
 rows with an equal doc_id are each given their own fingerprint; a null doc_id
 gets a fingerprint and the component of the rows it links with (null if all of
-them have none); other columns are ignored; an empty table gives an empty result.
+them have none); other columns are ignored (and kept by ``keep_one``); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +39,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import packed as P
-from millrace.llm.components import Forest, components, cut_lineage, runs_of_pairs, tiled
+from millrace.llm import shingle_dedup
+from millrace.llm.components import Forest, components, cut_lineage, fresh, runs_of_pairs, tiled
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 BITS = 64
-#: For keep_one: words of a shingle, differing bits of 64 and of 256 (64 and MORE words besides).
-STAGE_SHINGLE, STAGE_DISTANCE, STAGE_WIDE, MORE = 5, 12, 40, 3
+#: For keep_one: words of a shingle and the least likeness; numbers of 64 bits in a fingerprint, bits of a segment, segments of a chain.
+STAGE_SHINGLE, LEAST, WORDS, SEGMENT, CHAIN = 5, 0.8, 4, 16, 4
+#: Ids of documents that go, 8 bytes each, up to which their list is broadcast; beyond it, documents meet them by a shuffle.
+FEW_IDS = 1_000_000
+#: Standard deviations that a near duplicate's differences may lie above their mean; sets below so many shingles aren't pruned.
+SPREAD, ENOUGH = 6.0, 32
 #: Runs of equal keys above this length are compared by blocks; buckets above TILE_ROWS in pairs of tiles.
 LONG_RUN, TILE_ROWS = 64, 8_192
 
@@ -53,33 +65,71 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * count > len(bits)).tobytes(), "big")
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, more: int = 0) -> list[int]:
-    """SimHash of a text's word shingles, repeats included; and ``more`` others of their remixed hashes."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of a text's word shingles, repeats included."""
     words = text.lower().split()  # bytes: A-Z only, and the ASCII white space
     if not words:
-        return [0] * (1 + more)
+        return 0
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)])
-    own = np.frombuffer(hashes, ">u8").astype(np.uint64)
-    return [majority(own), *(majority(P.mix(own, k + 1)) for k in range(more))]
+    return majority(np.frombuffer(hashes, ">u8").astype(np.uint64))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, bits, more) of every document; no shuffle."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, bits) of every document; no shuffle."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = P.text_buffer(batch.column(1))
             raw, at = data.tobytes(), offsets.tolist()
-            out = np.array([fingerprint(raw[a:b], shingle, more=more) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64).reshape(-1, 1 + more)
-            rest = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * more, pa.int32()), pa.array(out[:, 1:].ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0].copy()), rest], ["key", "bits", "more"])
+            out = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["key", "bits"])
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string")).mapInArrow(each, "key long, bits long")
+
+
+def wide_fingerprints(grams: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """SimHash of 64 * WORDS bits of each row's distinct shingles (rows x WORDS), from their hashes; ``row`` rises."""
+    out = np.zeros((rows, WORDS), np.uint64)
+    some, first, size = np.unique(row, return_index=True, return_counts=True)
+    step = 1 << 16
+    for k in range(WORDS):
+        hashes = P.mix(grams, 16 + k)
+        count = np.zeros((len(some), BITS), np.int32)
+        for a in range(0, len(grams), step):  # sums of bits, some thousand shingles at once
+            part = np.unpackbits(hashes[a : a + step].astype(">u8").view(np.uint8)).reshape(-1, BITS)
+            lo, hi = np.searchsorted(first, a, side="right") - 1, np.searchsorted(first, a + len(part))
+            cuts = np.maximum(first[lo:hi] - a, 0)
+            count[lo:hi] += np.add.reduceat(part, cuts, axis=0, dtype=np.int32)
+        out[some, k] = np.packbits(2 * count > size[:, None], axis=1).view(">u8").ravel()
+    return out
+
+
+def wide_limit(least: float) -> int:
+    """Differing bits that the fingerprints of two sets of a likeness of ``least`` practically never exceed."""
+    bits, p = BITS * WORDS, np.arccos(2 * least / (1 + least)) / np.pi
+    return min(bits, int(np.ceil(bits * p + SPREAD * np.sqrt(bits * p * (1 - p)))))
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string")).mapInArrow(each, "key long, bits long, more array<long>")
+
+def near_enough(one: np.ndarray, others: np.ndarray, shingles: np.ndarray, least: float) -> np.ndarray:
+    """Which fingerprints may belong to near duplicates of one: pigeonring chains of segments, then the full distance.
+
+    In a ring of m segments with at most ``limit`` differences, some segment begins a
+    run whose sums of 1, 2 ... segments never exceed their share of the limit.
+    """
+    limit, m = wide_limit(least), BITS * WORDS // SEGMENT
+    apart = np.bitwise_count((others ^ one).view(np.uint16)).astype(np.int16).reshape(len(others), m)
+    sums, fits = np.zeros_like(apart), np.ones(apart.shape, bool)
+    for length in range(1, CHAIN + 1):
+        sums = sums + np.roll(apart, 1 - length, axis=1)
+        fits &= sums * m <= length * limit
+    alike = fits.any(1)
+    alike[alike] = apart[alike].sum(1) <= limit
+    return alike | (shingles < ENOUGH)
 
 
 def ring(distance: int) -> tuple[list[int], list[int], list[int]]:
@@ -124,13 +174,8 @@ def close_pairs(bits: np.ndarray, key: np.ndarray, distance: int) -> Iterator[tu
         yield at[i], at[j]
 
 
-def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | None = None, wide: int | None = None) -> DataFrame:
-    """(a, b): a spanning forest of the links between (bits, rep) classes at ``distance`` or fewer differing bits.
-
-    With ``wide``, links also need at most so many differing bits over ``bits`` and ``more`` together.
-    """
-    if wide is None:
-        classes = classes.select("bits", "rep", F.array().cast("array<long>").alias("more"))
+def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | None = None) -> DataFrame:
+    """(a, b): a spanning forest of the links between (bits, rep) classes at ``distance`` or fewer differing bits."""
     lows, widths, budgets = ring(distance)
     m = len(widths)
     n = classes.count()
@@ -142,9 +187,9 @@ def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | N
         own = [widths[(i + k) % m] for k in range(chain)]
         starts.append(F.struct(F.lit(i).alias("start"), turned(i).bitwiseAND(F.lit((1 << sum(own)) - 1)).alias("part")))
         masks.append(F.array(*[F.lit(x).cast("long") for x in probe_masks(own, budgets)]))
-    rows = classes.where("rep is not null").select("bits", "rep", "more", F.explode(F.array(*starts)).alias("s")).select("bits", "rep", "more", "s.*")
-    rows = rows.select("bits", "rep", "more", "start", "part", F.posexplode(F.element_at(F.array(*masks), F.col("start") + 1)).alias("nth", "mask"))
-    rows = rows.select("bits", "rep", "more", "start", F.col("part").bitwiseXOR(F.col("mask")).alias("part"), (F.col("nth") > 0).alias("probe"))
+    rows = classes.where("rep is not null").select("bits", "rep", F.explode(F.array(*starts)).alias("s")).select("bits", "rep", "s.*")
+    rows = rows.select("bits", "rep", "start", "part", F.posexplode(F.element_at(F.array(*masks), F.col("start") + 1)).alias("nth", "mask"))
+    rows = rows.select("bits", "rep", "start", F.col("part").bitwiseXOR(F.col("mask")).alias("part"), (F.col("nth") > 0).alias("probe"))
     met = tiled(rows, ["start", "part"], "bits", TILE_ROWS)
     # one task takes many small buckets; a pair of tiles of a large bucket has a group of its own
     groups = max(16, 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * m // 50_000)
@@ -160,7 +205,6 @@ def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | N
         names, vertex = np.unique(col["rep"], return_inverse=True)
         forest = Forest(len(names))
         bits = col["bits"].view(np.uint64)
-        rest = table.column("more").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
         across = col["tile_a"] != col["tile_b"]
         for i, j in close_pairs(bits, key, distance):
             # tiles that differ meet each other only; two probes never make a pair
@@ -176,10 +220,7 @@ def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | N
                 sofar = sofar + np.bitwise_count((apart >> low) & mask)
                 fits = sofar <= budget
                 i, j, start, apart, sofar = i[fits], j[fits], start[fits], apart[fits], sofar[fits]
-            full = np.bitwise_count(apart).astype(np.int64)
-            hit = full <= distance
-            if wide is not None:
-                hit &= full + np.bitwise_count(rest[i] ^ rest[j]).sum(1, dtype=np.int64) <= wide
+            hit = np.bitwise_count(apart) <= distance
             forest.link(vertex[i[hit]], vertex[j[hit]])
         linked = np.flatnonzero(forest.label != np.arange(len(names)))
         return pa.table({"a": pa.array(names[linked], pa.int64()), "b": pa.array(names[forest.label[linked]], pa.int64())})
@@ -187,30 +228,30 @@ def similar_classes(classes: DataFrame, distance: int = DISTANCE, chain: int | N
     return met.withColumn("_group", group).groupBy("_group").applyInArrow(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, wide: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint, component_id) of every document; ``wide`` as in ``similar_classes``."""
-    marked = cut_lineage(fingerprints(docs, shingle, 0 if wide is None else MORE, key, text))
-    classes = cut_lineage(marked.groupBy("bits", "more").agg(F.min("key").alias("rep")))
-    groups = components(similar_classes(classes, distance, wide=wide))
-    of_class = classes.join(groups, classes["rep"] == groups["node"], "left").select("bits", "more", F.coalesce("component", "rep").alias("component_id"))
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fingerprint, component_id) of every document."""
+    marked = cut_lineage(fingerprints(docs, shingle, key, text))
+    classes = cut_lineage(marked.groupBy("bits").agg(F.min("key").alias("rep")))
+    groups = components(similar_classes(classes, distance))
+    of_class = classes.join(groups, classes["rep"] == groups["node"], "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
     shown = F.lower(F.lpad(F.hex("bits"), 16, "0"))
-    return marked.join(of_class, ["bits", "more"]).select(F.col("key").alias(key), shown.alias("fingerprint"), "component_id")
-
+    return marked.join(of_class, ["bits"]).select(F.col("key").alias(key), shown.alias("fingerprint"), "component_id")
 
-def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, wide: int = STAGE_WIDE) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns.
 
-    Near duplicates share some 0.8 or more of their five-word shingles: such texts
-    differ in up to ``distance`` of the 64 bits, and in at most ``wide`` of 256,
-    which texts of no such likeness never reach.
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = LEAST) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns: the one with the smallest doc_id.
 
-    The one with the smallest doc_id stays; of rows with an equal doc_id, the one
-    with the smallest text; rows with a null doc_id all stay.
+    Of rows with an equal doc_id, one with the smallest text of the group's stays;
+    rows with a null doc_id all stay and link with nobody; texts without a word are
+    one group.
     """
-    near = cut_lineage(near_duplicates(docs, shingle, distance, wide))
-    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    if near.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    named = docs.where("doc_id is not null")
+    near = cut_lineage(shingle_dedup.near_duplicates(named, wide_fingerprints, near_enough, shingle, least))
+    kept = near.groupBy("group").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
+    gone = cut_lineage(near.select(F.col("doc_id").alias("_gone")).distinct().join(kept, F.col("_gone") == F.col("_kept"), "left_anti"))
+    side = F.broadcast(gone) if gone.limit(FEW_IDS + 1).count() <= FEW_IDS else gone
+    out = named.join(side, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    if near.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        name = fresh(docs.columns, "_nth")
+        out = out.withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(name) == 1).drop(name)
     return out.unionByName(docs.where("doc_id is null"))
