@@ -49,8 +49,8 @@ CUT = "bucket long, block long, known boolean, payload binary"
 class SuffixFamily:
     """Suffix arrays, cut at ``length`` bytes, in levels that double in size.
 
-    A level is a text, the sorted start positions of its suffixes and, for
-    each, the smallest owner of that string in the level.
+    A level is a text, the sorted start positions of its suffixes, the first eight
+    bytes of each as a number and, for each, the smallest owner of that string in the level.
     """
 
     def __init__(self, length: int = LENGTH):
@@ -64,8 +64,16 @@ class SuffixFamily:
             rows[:, :-1] = np.lib.stride_tricks.sliding_window_view(text, self.length)[at]
         return rows.view(f"S{self.length + 1}").ravel()
 
+    @staticmethod
+    def _heads(keys: np.ndarray) -> np.ndarray:
+        """The first eight bytes of keys, as numbers that sort like them."""
+        raw = np.zeros((len(keys), 8), np.uint8)
+        width = min(8, keys.dtype.itemsize)
+        raw[:, :width] = keys.view(np.uint8).reshape(len(keys), -1)[:, :width]
+        return raw.view(">u8").ravel().astype(np.uint64)
+
     def _level(self, text: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
-        """A level of the suffixes; and for each suffix the entry it belongs to."""
+        """A level of the suffixes, by sorting them; its keys; and for each suffix the entry it belongs to."""
         keys = self._keys(text, at)
         order = np.lexsort((owner, keys)) if len(keys) else np.empty(0, np.int64)
         ranked = keys[order]
@@ -74,23 +82,53 @@ class SuffixFamily:
         entry = np.empty(len(order), np.int64)
         entry[order] = np.cumsum(new) - 1
         lead = order[new]
-        return {"text": text, "at": at[lead], "owner": owner[lead]}, keys[lead], entry
+        return {"text": text, "at": at[lead], "head": self._heads(keys[lead]), "owner": owner[lead]}, keys[lead], entry
+
+    def _find(self, level: dict, keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The entry of a level that each sorted key is, or -1: by heads, then by halving among equal heads."""
+        low, high = np.searchsorted(level["head"], heads), np.searchsorted(level["head"], heads, side="right")
+        end = high.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) // 2
+            less = self._keys(level["text"], level["at"][middle]) < keys[open_]
+            low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        some = np.flatnonzero(low < end)
+        some = some[self._keys(level["text"], level["at"][low[some]]) == keys[some]]
+        out = np.full(len(keys), -1)
+        out[some] = low[some]
+        return out
+
+    def _merge(self, a: dict, b: dict) -> dict:
+        """Two levels as one: both are sorted, so that their entries only have to be counted past each other."""
+        one, two = self._keys(a["text"], a["at"]), self._keys(b["text"], b["at"])
+        place = np.searchsorted(one, two)
+        same = one[np.minimum(place, len(one) - 1)] == two if len(one) else np.zeros(len(two), bool)
+        owner = a["owner"].copy()
+        owner[place[same]] = np.minimum(owner[place[same]], b["owner"][same])
+        rest = np.flatnonzero(~same)
+        mine = np.zeros(len(one) + len(rest), bool)
+        mine[place[rest] + np.arange(len(rest))] = True  # where the second level's entries go
+        out = {"text": np.concatenate([a["text"], b["text"]])}
+        for name, left, right in (("at", a["at"], b["at"][rest] + len(a["text"])), ("head", a["head"], b["head"][rest]), ("owner", owner, b["owner"][rest])):
+            merged_ = np.empty(len(mine), left.dtype)
+            merged_[~mine], merged_[mine] = left, right
+            out[name] = merged_
+        return out
 
     def add(self, text: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Index suffixes at ``at``; the smallest owner of each one's string, in this batch or before it."""
         level, keys, entry = self._level(text, at, owner)
         least = level["owner"].copy()
-        for old in self.levels:  # merge-scan: both sides are sorted
-            there = self._keys(old["text"], old["at"])
-            if len(there):
-                i = np.minimum(np.searchsorted(there, keys), len(there) - 1)
-                hit = there[i] == keys
-                least[hit] = np.minimum(least[hit], old["owner"][i[hit]])
+        for old in self.levels:
+            found = self._find(old, keys, level["head"])
+            hit = found >= 0
+            least[hit] = np.minimum(least[hit], old["owner"][found[hit]])
         self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-2]["at"]) <= 2 * len(self.levels[-1]["at"]):
             b, a = self.levels.pop(), self.levels.pop()
-            joined = np.concatenate([a["text"], b["text"]])
-            self.levels.append(self._level(joined, np.r_[a["at"], b["at"] + len(a["text"])], np.r_[a["owner"], b["owner"]])[0])
+            self.levels.append(self._merge(a, b))
         return least[entry]
 
 

@@ -146,8 +146,6 @@ def test_simhash(spark):
     found = brute_components(marks, linked)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup.near_duplicates(frame(spark, rows)).collect()}
     assert got == {i: (f"{marks[i]:016x}", found[i]) for i in marks}
-    kept = simhash_dedup.keep_one(frame(spark, rows), shingle=4, distance=4, wide=256)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
 
 
 def test_keep_one_drops_edited_copies_and_keeps_others(spark):
@@ -197,12 +195,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("tile", [2048, 6])
-def test_embeddings(spark, tile, monkeypatch):
+@pytest.mark.parametrize(("tile", "hashes"), [(2048, None), (6, 1), (4, 2), (2048, 3)])
+def test_embeddings(spark, tile, hashes, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 24))
     x = np.concatenate([b + 0.25 * rng.normal(size=(9, 24)) for b in base])
     data = [(i, v.astype(np.float32).tolist(), i % 2) for i, v in enumerate(x)]
+    data += [(None, None, None)] * 3 + [(None, data[0][1], 0)] + [(110, None, None)]
     data += [(100, data[0][1], 0), (101, data[0][1], 0), (102, None, 0), (103, [0.0] * 24, 0), (104, [float("nan")] * 24, 0), (105, [None] * 24, 0), (106, data[0][1], None), (107, [], 0), (108, [1.0, 2.0], 0), (109, [2.0, 4.0], 0), (None, data[0][1], 0)]
     sound = [(i, np.array(v, float), y) for i, v, y in data if i is not None and v and y is not None and None not in v and np.isfinite(v).all() and any(v)]
     cosine = lambda a, b: len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.93
@@ -212,20 +211,25 @@ def test_embeddings(spark, tile, monkeypatch):
     original = components.tiled
     monkeypatch.setattr(embedding_dedup, "tiled", lambda rows, bucket, id_column: original(rows, bucket, id_column, tile=tile))
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit("clash"))
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df).collect()}
-    assert got.pop(None) == (0, None, False)
+    every = embedding_dedup.near_vectors(df, hashes=hashes).collect()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in every}
+    assert got.pop(None) == (0, None, False) and len(every) == len(data)
+    assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
     assert got == {i: (links[i], found[i], found[i] == i) for i in found}
 
 
-def test_embedding_recall_at_the_threshold():
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_embedding_recall_at_the_threshold_is_the_same_with_more_hashes(hashes):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(3000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.normal(size=a.shape)
     b -= (a * b).sum(1, keepdims=True) * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    x, y = (embedding_dedup.codes_of(v, embedding_dedup.TABLES, embedding_dedup.PROBES, 1, embedding_dedup.SEED) for v in (a, b))
-    assert (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean() > 0.995
+    x, y = (embedding_dedup.codes_of(v, embedding_dedup.tables_for(hashes), embedding_dedup.PROBES, hashes, embedding_dedup.SEED) for v in (a, b))
+    met = (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3))
+    apart = np.bitwise_count(embedding_dedup.sketches(a, 42) ^ embedding_dedup.sketches(b, 42)).sum(1)
+    assert met.mean() > 0.999 and (apart <= embedding_dedup.sketch_limit(0.93)).mean() > 0.999
 
 
 def test_license_scan(spark):
@@ -238,10 +242,33 @@ def test_license_scan(spark):
     assert by[2] == [(5, 2, 0, 2, "cc-by", "cc-by", 1.0)]
     assert by[3][0][1:6] == (0, None, None, "", "apache-2.0") and 0.8 <= by[3][0][6] < 1
     assert by[4] == [(0, 0, None, None, "", "", 0.0)] and sorted(r[1] for r in by[5]) == [0, 1]
-    assert by[6] == [(3, 0, None, None, "", "", 0.5)] * 2 and by[None][0][1] == 1
+    assert by[6] == [(3, 0, None, None, "", "", 2 / 3)] * 2 and by[None][0][1] == 1
     assert license_scan.scan_licenses(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_base_phrases_are_counted_as_a_plain_search_counts_them(spark):
+    import re
+
+    r = random.Random(40)
+    parts = ["all", "rights", "reserved", "Reserved", "cc", "by", "CC", "general", "public", "license", "été", "K", "\u212a", "gnu", "x1"]
+    gaps = [" ", "-", ". ", "\n", "  ", "/", "\u00a0"]
+    rows = [(i, "".join(r.choice(parts) + r.choice(gaps) for _ in range(r.randrange(80)))) for i in range(60)] + [(70, "word " * 30_000 + "all rights reserved " + "by cc " * 30_000), (71, " . "), (72, ".cc by.")]
+    phrases = {label: words.split() for label, words in license_scan.BASE}
+    want = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        at = [(k, label) for label, p in phrases.items() for k in range(len(w)) if w[k : k + len(p)] == p]
+        want[i] = (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at})))
+    got = {x[0]: tuple(x)[1:6] for x in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 40
+
+
+def test_a_span_is_verified_by_its_words(spark):
+    rows = [(1, "released under the new mit license"), (2, "released under a b c the mit license"), (3, "of the " * 500 + "under the"), (4, "licensed beneath the apache software version 2 0")]
+    got = {x.doc_id: (x.labels, round(x.score, 3)) for x in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert got[1] == ("mit", 0.833) and got[2][0] == "" and got[3][0] == "" and got[3][1] < 0.5 and got[4] == ("", 0.625)
+
+
 def test_decontamination_finds_edited_copies(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
@@ -415,7 +442,7 @@ def test_decontamination_finds_every_pair_that_aligns(edit):
     counts = {}
     for key in set(zip(row[at].tolist(), g.tolist())):
         counts[key[1]] = counts.get(key[1], 0) + 1
-    found.keep_rare(counts)
+    found.keep_rare(np.array(list(counts), np.uint64), np.array(list(counts.values()), np.int64))
     got = {(m[0], m[1]): m[2] for m in found.matches(data, offsets)}
     begin = np.searchsorted(row, np.arange(len(texts) + 1))
     want = {(i, k): s / (2 * len(w)) for i in range(len(texts)) for k, w in enumerate(found.words) if (s := decontamination.align(w, h[begin[i] : begin[i + 1]])[0]) >= len(w)}
@@ -432,7 +459,8 @@ def test_decontamination_finds_items_leaked_only_as_edited_copies(spark):
     assert {(x.doc_id, x.item_id, x.n_places) for x in got.collect()} == {(i, i, 1) for i in range(10)} and decontamination.drop_leaks(docs, bench).count() == 0
 
 
-def test_shingle_dedup_links_exactly_the_pairs_above_the_threshold(spark, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_keep_one_links_exactly_the_pairs_above_the_threshold(spark, monkeypatch, small):
     r = random.Random(31)
     line = " ".join(f"c{k}" for k in range(12))
     texts = []
@@ -454,10 +482,12 @@ def test_shingle_dedup_links_exactly_the_pairs_above_the_threshold(spark, monkey
     likeness = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(150) for b in range(a) if sets[a] & sets[b]]
     assert sum(0.7 < x < 0.8 for x in likeness) > 5 and sum(0.8 <= x < 0.9 for x in likeness) > 5
     want = brute_components(sets, [(a, b) for a in sets for b in sets if a < b and alike(a, b)])
-    monkeypatch.setattr(shingle_dedup, "SHARD", 500)
-    kept = shingle_dedup.keep_one(frame(spark, rows)).collect()
+    if small:
+        near = shingle_dedup.near_duplicates
+        monkeypatch.setattr(shingle_dedup, "near_duplicates", lambda *a: near(*a, block_bytes=3_000, tile=3))
+    kept = simhash_dedup.keep_one(frame(spark, rows)).collect()
     assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted(set(want.values())) and sum(x.doc_id is None for x in kept) == 1
-    assert shingle_dedup.keep_one(frame(spark, rows).limit(0)).count() == 0
+    assert simhash_dedup.keep_one(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_the_pipeline_compares_shingles_not_fingerprints(spark):
