@@ -75,7 +75,16 @@ def code(spark: SparkSession, d: str) -> Facts:
     arguments = items.select(key("c", "l_orderkey").alias("call_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_returnflag").alias("parameter"), key("t", "l_partkey", 5).alias("parameter_type"), F.when(F.col("l_tax") > 0, F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("value_start"), F.lit(1).alias("value_length"), (F.col("l_discount") > 0.05).alias("has_value"), F.col("l_quantity").cast("int").cast("string").alias("value"))
     half = F.expr("id div 2")
     bases = spark.range(1, 500).select(key("t", "id").alias("type"), F.concat(F.lit("t"), half.cast("string")).alias("base"), (half % 3 == 0).alias("is_interface"))
-    return Facts({"contexts": contexts, "documents": documents, "type_parts": type_parts, "members": members, "calls": calls, "arguments": arguments, "bases": bases})
+    at = ["context_id", "document_id", "start", "length"]
+    nth = lambda n, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("start") % n + 1).cast("int"))
+    sites = calls.withColumn("start", F.expr("start div 100"))
+    return Facts({
+        "contexts": contexts, "documents": documents, "type_parts": type_parts, "members": members, "calls": calls, "arguments": arguments, "bases": bases,
+        "variables": sites.select(*at, nth(3, "local", "foreach", "out").alias("kind")), "statements": sites.select(*at, nth(4, "if", "embedded", "enumeration", "catch").alias("kind")),
+        "nodes": sites.select(*at, nth(5, "Block", "Call", "Name", "Text", "Loop").alias("kind"), (F.lit(1).cast("int") * (F.col("start") % 8)).cast("int").alias("bits")), "operations": sites.select(*at, nth(2, "Binary", "Unary").alias("kind")),
+        "null_checks": sites.where("start % 6 = 0").select(*at, nth(12, "is", "is", "is", "is", "is", "is", "==", "==", "==", "==", "==", "==").alias("form")),
+        "member_refs": sites.select(*at, F.col("target").alias("member"), "owner", "name"), "type_refs": sites.select(*at, F.col("receiver_type").alias("type_key")),
+    })
 
 
 def pair(sql: str) -> Callable:
@@ -160,6 +169,50 @@ def project_facts(c):
     return project_fact(c.table("type_parts"), {"parts": F.count(F.lit(1)), "types": F.count_distinct("symbol")})
 
 
+SITES = ", sites AS (SELECT call_id, context_id, document_id, start // 100 AS start, target, receiver_type FROM calls JOIN shown USING (document_id, context_id))\n"
+
+
+@pair(SITES + "SELECT start, ['local', 'foreach', 'out'][start % 3 + 1] AS kind FROM sites WHERE start % 3 <> 1")
+def local_and_out_variables(c):
+    return c.variables("local").concat(c.variables("out")).rows.select("start", "kind")
+
+
+@pair(SITES + "SELECT start FROM sites WHERE start % 3 = 1")
+def for_each_loops(c):
+    return c.variables("foreach").rows.select("start")
+
+
+@pair(SITES + "SELECT start, ['if', 'embedded', 'enumeration', 'catch'][start % 4 + 1] AS kind FROM sites WHERE start % 4 <> 1")
+def statements_by_kind(c):
+    return c.statements("if").concat(c.statements("enumeration")).concat(c.statements("catch")).rows.select("start", "kind")
+
+
+@pair(SITES + "SELECT start FROM sites WHERE start % 4 = 1")
+def embedded_statements(c):
+    return c.statements("embedded").rows.select("start")
+
+
+@pair(SITES + "SELECT start FROM sites WHERE start % 5 = 1 AND start % 8 & 3 = 2 UNION ALL SELECT start FROM sites WHERE start % 2 = 1")
+def nodes_and_operations(c):
+    marked = c.nodes("Call").where(F.col("bits").bitwiseAND(3) == 2).rows
+    return marked.select("start").unionByName(c.operations("Unary").rows.select("start"))
+
+
+@pair(SITES + "SELECT start, CASE WHEN start % 12 = 0 THEN 'is' ELSE '==' END AS form FROM sites WHERE start % 6 = 0")
+def null_checks(c):
+    return c.reported("null_checks").rows.select("start", "form")
+
+
+@pair(SITES + "SELECT start, target AS member FROM sites WHERE target IN ('m1', 'm2')")
+def member_references(c):
+    return c.reported("member_refs").named("member", "m1", "m2").rows.select("start", "member")
+
+
+@pair(SITES + "SELECT start, receiver_type AS type_key FROM sites WHERE receiver_type = 't3'")
+def type_references(c):
+    return c.reported("type_refs").named("type_key", "t3").rows.select("start", "type_key")
+
+
 # Filters ------------------------------------------------------------------------
 
 
@@ -694,9 +747,32 @@ def test_classes(c):
     return facts.test_classes(classes, tests, lineage(c), none)
 
 
+@pair("SELECT DISTINCT t.context_id, t.symbol FROM type_parts t JOIN lineage l ON l.type = t.symbol JOIN members m ON m.owner = l.ancestor AND m.context_id = t.context_id WHERE m.kind = 'method' AND t.start % 2 = 0")
+def abstract_test_classes(c):
+    tests = c.table("members").where("kind = 'method'").select("context_id", "symbol", "owner")
+    none = c.table("members").select("context_id", "owner", F.col("symbol").alias("overridden")).limit(0)
+    classes = c.table("type_parts").select("context_id", "symbol", (F.col("start") % 2 == 0).alias("is_abstract")).distinct()
+    return facts.test_classes(classes, tests, lineage(c), none, abstract=True).select("context_id", "symbol")
+
+
+@pair("SELECT view, interface, type FROM (SELECT DISTINCT context_id AS view, 'i' || (start % 3) AS interface FROM members) v LEFT JOIN (SELECT context_id AS view, 'i0' AS interface, symbol AS type FROM members WHERE kind = 'field') m USING (view, interface)")
+def implementation_views(c):
+    views = c.table("members").select(F.concat(F.lit("i"), (F.col("start") % 3).cast("string")).alias("interface"), F.col("context_id").alias("view_id")).distinct()
+    made = c.table("members").where("kind = 'field'").select(F.lit("i0").alias("interface"), F.col("context_id").alias("view_id"), F.col("symbol").alias("type"))
+    return facts.implementation_views(views, made).select(F.col("view_id").alias("view"), "interface", "type")
+
+
 # Graphs -------------------------------------------------------------------------------
 
 
+@pair("SELECT DISTINCT parameter_type AS seed FROM arguments JOIN calls USING (call_id) WHERE is_resolved AND parameter = 'A' AND name = 'HIGH' UNION SELECT type_key FROM members WHERE kind = 'enum_member' UNION SELECT NULL")
+def type_seeds(c):
+    passed = E.types_passed_as(c.table("calls").where("name = 'HIGH'"), c.table("arguments").withColumn("type_key", F.col("parameter_type")), "A")
+    declared = E.types_declared_by(c.table("members").where("kind = 'enum_member'"))
+    lost = c.table("members").select(F.lit(None).cast("string")).limit(1)
+    return graph.seeds_of(passed, declared, lost)
+
+
 def type_graph(c: Facts) -> DataFrame:
     """Edges from each type to its two halves below, in order."""
     return c.table("bases").select(F.col("base").alias("src"), F.col("type").alias("dst"), F.expr("cast(substr(type, 2) as int)").alias("ordinal"))

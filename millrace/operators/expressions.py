@@ -172,6 +172,16 @@ def awaited_calls(expressions: DataFrame, calls: DataFrame) -> DataFrame:
     return expressions.where(holds(F.col("is_awaited"))).join(own, ["context_id", "document_id", "operand_start", "operand_length"])
 
 
+def types_passed_as(calls: DataFrame, arguments: DataFrame, *parameters: str) -> DataFrame:
+    """(seed): the types of what resolved calls pass as the parameters; one that can't be told is null."""
+    return arguments.where(F.col("parameter").isin(*parameters)).join(calls.where(holds(F.col("is_resolved"))).select("call_id"), "call_id", "left_semi").select(F.col("type_key").alias("seed")).distinct()
+
+
+def types_declared_by(members: DataFrame) -> DataFrame:
+    """(seed): the types of declared members; one that can't be told is null."""
+    return members.select(F.col("type_key").alias("seed")).distinct()
+
+
 def evaluation_inputs(arguments: DataFrame) -> DataFrame:
     """(call_id, inputs): the values of each call in the order in which they are written."""
     written = F.struct("value_start", "parameter")

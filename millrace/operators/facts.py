@@ -76,8 +76,13 @@ def test_methods(methods: DataFrame, attributes: DataFrame, lineage: DataFrame,
     return methods.join(marked.select("context_id", "symbol").unionByName(through).distinct(), ["context_id", "symbol"], "left_semi")
 
 
-def test_classes(classes: DataFrame, tests: DataFrame, lineage: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Classes that declare or inherit a test that no method of theirs or of a base between overrides away."""
+def test_classes(classes: DataFrame, tests: DataFrame, lineage: DataFrame, overrides: DataFrame, abstract: bool | None = None) -> DataFrame:
+    """Classes that declare or inherit a test that no method of theirs or of a base between overrides away.
+
+    With ``abstract`` only those that are (``is_abstract``), or that are not.
+    """
+    if abstract is not None:
+        classes = classes.where(holds(F.col("is_abstract")) == F.lit(abstract))
     owners = tests.select("context_id", "symbol", F.col("owner").alias("ancestor"))
     reach = lineage.join(owners, "ancestor").select("context_id", F.col("type").alias("owner"), "symbol", "depth")
     gone = lineage.join(overrides.withColumnRenamed("owner", "ancestor"), "ancestor").select("context_id", F.col("type").alias("owner"), F.col("overridden").alias("symbol")).distinct()
