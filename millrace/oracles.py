@@ -217,7 +217,7 @@ ORACLES = {
     "q_view_contexts": """
       WITH RECURSIVE reach(framework, context_id) AS (
         SELECT n_regionkey, n_nationkey FROM nation UNION SELECT framework, context_id // 2 FROM reach WHERE context_id > 0
-      ) SELECT framework, context_id FROM reach""",
+      ) SELECT framework, CAST(context_id AS BIGINT) AS context_id FROM reach""",
 }
 
 ORACLES |= code_queries.ORACLES
