@@ -16,9 +16,9 @@ Equal vectors of a label are one class with a size.  Buckets and blocks above a
 tile's size meet in pairs of tiles; a task emits one row a class (links counted,
 root of its spanning forest), not pairs.
 
-Buckets get finer as the table grows: ``hashes_for`` joins so many hashes to a
-bucket's key that buckets stay near a tile's size, and ``tables_for`` takes as many
-tables as keep the share of links that are missed the same, some 1 in 100,000 at
+Buckets get finer as the largest label grows: ``hashes_for`` joins so many hashes
+to a bucket's key that buckets stay near a tile's size, and ``tables_for`` takes as
+many tables as keep the share of links that are missed the same, some 1 in 10,000 at
 the threshold and fewer above it.
 
 Defined results for odd input: a null, empty or zero vector, one with null or
@@ -49,11 +49,15 @@ COSINE = 0.93
 PROBES = 2
 SEED = 42
 #: Share of the pairs at the threshold that have one of two probes in common in a table, measured; and the share that may be missed.
-HIT, MISS = 0.763, 1e-5
-#: Rows that a bucket of one hash is meant for: beyond so many of them, keys take another hash.
+HIT, MISS = 0.763, 1e-4
+#: Rows of a label that buckets of one hash are meant for: for every VERTICES times as many, keys take another hash.
 ROOM, VERTICES = 1 << 19, 128
+#: Rows of a bucket that meet in one task; they are names and sketches.
+TILE_NAMES = 16_384
+#: Rows of a block that meet in one task, with their vectors.
+TILE_VECTORS = 8_192
 #: Signs of a sketch, and how many standard deviations above the mean the differences of a link may lie.
-SKETCH, SPREAD = 128, 5.0
+SKETCH, SPREAD = 128, 4.0
 CHUNK = 1 << 18
 #: Runs of rows up to this length are paired together, longer ones by blocks.
 SHORT_RUN = 48
@@ -62,7 +66,7 @@ SIGNED = "cls long, vec_id long, home long, s0 long, s1 long, entries array<long
 
 
 def hashes_for(rows: int) -> int:
-    """Hashes joined to a bucket's key."""
+    """Hashes joined to a bucket's key, by the rows of the largest label."""
     return 1 + max(0, math.ceil(math.log(max(1, rows) / ROOM, VERTICES)))
 
 
@@ -189,8 +193,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None
     spark = vectors.sparkSession
     label = F.when(F.col("label").isNotNull(), F.xxhash64("label"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), "embedding")
-    total = rows.count()
-    hashes = hashes or hashes_for(total)
+    sizes = rows.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    total = sizes["total"]
+    hashes = hashes or hashes_for(sizes["most"])
     tables = tables or tables_for(hashes)
     limit = sketch_limit(cosine)
 
@@ -245,9 +250,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None
         every = np.unique(np.concatenate(asked), axis=0)
         return pa.table({"a": pa.array(homes[every[:, 0]], pa.int64()), "b": pa.array(homes[every[:, 1]], pa.int64()), "cls": pa.array(names[every[:, 2]], pa.int64())})
 
-    found = dealt(tiled(entries, ["bucket"], "cls"), ["bucket"], max(many, total * tables * probes**hashes // 50_000)).applyInArrow(meet, "a long, b long, cls long")
+    found = dealt(tiled(entries, ["bucket"], "cls", TILE_NAMES), ["bucket"], max(many, total * tables * probes**hashes // 50_000)).applyInArrow(meet, "a long, b long, cls long")
     asked = cut_lineage(found.distinct())
-    blocks = tiled(asked.join(classes.select("cls", "home", "rep", "n"), "cls"), ["a", "b"], "cls")
+    blocks = tiled(asked.join(classes.select("cls", "home", "rep", "n"), "cls"), ["a", "b"], "cls", TILE_VECTORS)
     texts = rows.where("vec_id is not null and label is not null").select(F.col("vec_id").alias("rep"), "label", "embedding")
 
     def link(table: pa.Table) -> pa.Table:

@@ -209,7 +209,7 @@ def test_embeddings(spark, tile, hashes, monkeypatch):
     found = brute_components([r[0] for r in data if r[0] is not None], linked)
     links = {i: sum(i in pair for pair in linked) for i in found}
     original = components.tiled
-    monkeypatch.setattr(embedding_dedup, "tiled", lambda rows, bucket, id_column: original(rows, bucket, id_column, tile=tile))
+    monkeypatch.setattr(embedding_dedup, "tiled", lambda rows, bucket, id_column, most=None: original(rows, bucket, id_column, tile=tile))
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit("clash"))
     every = embedding_dedup.near_vectors(df, hashes=hashes).collect()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in every}
