@@ -187,6 +187,8 @@ def decode(token: str, cost: list[float]) -> tuple[str, float]:
 
 #: Three or more tokens of one or two characters on end, in one line.
 SPELLED = re.compile(r"(?<!\S)(?:\S{1,2}[ \t]+){2,}\S{1,2}(?!\S)")
+#: Three or more single characters on end, in one line: read for themselves too, without the short words beside them.
+SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 BLANKS = re.compile(r"[ \t]+")
 
 
@@ -254,7 +256,9 @@ class Model:
             self.known.clear()
         pieces = set(text.split())
         if not self.plain:
-            pieces.update(m[0] for m in SPELLED.finditer(text))
+            for run in SPELLED.findall(text):
+                pieces.add(run)
+                pieces.update(SINGLES.findall(run))
         for piece in pieces - self.idle:
             ids = self.known.get(piece)
             if ids is None:
