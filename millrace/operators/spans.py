@@ -71,6 +71,63 @@ def overlap_pairs(edits: DataFrame, file: str, key: str, width: int = 4_096) ->
     return side("a", file).join(side("b", "_file"), test & once & hit).select(file, "a", "b")
 
 
+def beside(rows: DataFrame, name: str, order: Window, first: Column, second: Column) -> DataFrame:
+    """Adds what lies before each row in an order: ``name``_first, its greatest item, and ``name``_second, the greatest of another owner.
+
+    Items are structs (at, owner) or null; a row gives two, ``second`` not above
+    ``first``.  ``name``_own and ``name``_beaten are the row's part in both: their
+    maxima over all rows are the two items of the whole.
+    """
+    def lesser(a: Column, b: Column) -> Column:
+        return F.when(a["owner"] != b["owner"], F.least(a, b))
+
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(f"{name}_own", first).withColumn(f"{name}_first", F.max(f"{name}_own").over(before))
+    top = F.greatest(f"{name}_first", f"{name}_own")
+    beaten = F.greatest(lesser(F.col(f"{name}_first"), F.col(f"{name}_own")), lesser(top, second))
+    return rows.withColumn(f"{name}_beaten", beaten).withColumn(f"{name}_second", F.max(f"{name}_beaten").over(before))
+
+
+def overlapped(edits: DataFrame, file: str, owner: str, content: str, width: int = 4_096) -> DataFrame:
+    """Owners with an edit that conflicts with one of another owner in its file; edits of the same place and content agree.
+
+    A sweep instead of pairs: equal edits become one, and each is held against the
+    farthest end before it and the nearest start behind it, twice, so that its own
+    owner can be left out.  The sweep runs in bins of ``width`` and once over their
+    sums.  Doubled places make an insertion a span from half a place before to half
+    a place behind.
+    """
+    own = edits.select(F.col(file).alias("file"), F.col(owner).alias("owner"), "start", "length", F.col(content).alias("content")).where("file is not null and owner is not null and start is not null and length is not null")
+    start, end, empty = F.col("start").cast("long") * 2, (F.col("start").cast("long") + F.col("length")) * 2, F.col("length") == 0
+    one = own.groupBy("file", "start", "length", "content").agg(F.min("owner").alias("_least"), F.max("owner").alias("_most"))
+    one = one.withColumn("_from", F.when(empty, start - 1).otherwise(start)).withColumn("_to", F.when(empty, start + 1).otherwise(end))
+    one = one.withColumn("_at", F.least("_from", "_to")).withColumn("_bin", F.floor(F.col("_at") / width))
+
+    def items(at: Column) -> list[Column]:
+        return [F.when(at.isNotNull(), F.struct(at.alias("at"), F.col(name).alias("owner"))) for name in ("_most", "_least")]
+
+    # a length below zero (both ends must lie within the other span) reaches none behind it, and comes before what starts at its lower end
+    forward = ["_at", F.col("length") >= 0, "_from", "_to", "content"]
+    backward = [F.col("_at").desc(), (F.col("length") >= 0).desc(), F.col("_from").desc(), F.col("_to").desc(), F.col("content").desc()]
+    bins = Window.partitionBy("file", "_bin")
+    one = beside(one, "_end", bins.orderBy(*forward), *items(F.when(F.col("length") >= 0, F.col("_to"))))
+    one = beside(one, "_start", bins.orderBy(*backward), *items(-F.col("_from")))
+    sums = one.groupBy("file", "_bin").agg(*[F.max(f"{n}_{part}").alias(f"{n}_{part}") for n in ("_end", "_start") for part in ("own", "beaten")])
+    for n, order in (("_end", F.col("_bin")), ("_start", F.col("_bin").desc())):
+        sums = beside(sums.withColumnRenamed(f"{n}_beaten", f"{n}_two"), f"{n}s", Window.partitionBy("file").orderBy(order), F.col(f"{n}_own"), F.col(f"{n}_two"))
+    sums = sums.select("file", "_bin", *[f"{n}s_{part}" for n in ("_end", "_start") for part in ("first", "second")])
+
+    def beyond(name: str, limit: Column) -> Column:
+        first, second = F.col(f"{name}_first"), F.col(f"{name}_second")
+        return holds(F.when(first["owner"] != F.col("owner"), first["at"] > limit).otherwise(second["at"] > limit))
+
+    swept = one.join(sums, ["file", "_bin"]).withColumnsRenamed({"file": "_file", "start": "_start", "length": "_length", "content": "_content"})
+    same = (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")) & (F.col("length") == F.col("_length")) & F.col("content").eqNullSafe(F.col("_content"))
+    earlier = beyond("_end", F.col("_from")) | beyond("_ends", F.col("_from"))
+    later = (F.col("length") >= 0) & (beyond("_start", -F.col("_to")) | beyond("_starts", -F.col("_to")))
+    return own.join(swept, same).where(earlier | later).select(F.col("owner").alias(owner)).distinct()
+
+
 def nearest_ancestor(rows: DataFrame, nodes: DataFrame, document: Sequence[str], key: Sequence[str], wanted: Column, stop: Column) -> DataFrame:
     """The nearest node around each row that is wanted, unless a stopping node lies nearer.
 

@@ -1,5 +1,7 @@
 import os
 import sys
+from contextlib import contextmanager
+from threading import Timer
 
 import pytest
 
@@ -23,3 +25,14 @@ def spark():
 
 def rows(df, *columns):
     return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=str)
+
+
+@contextmanager
+def within(spark, seconds):
+    """Spark's jobs are cancelled, and so fail, when the time is over."""
+    timer = Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()

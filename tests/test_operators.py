@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import catalogue, changes, edits, evidence, graph, grouping, spans
 from millrace.sources import config, lexer, snapshots
-from tests.conftest import rows
+from tests.conftest import rows, within
 
 
 def edges(spark, *pairs):
@@ -305,6 +305,37 @@ def test_edit_plans(spark, tmp_path):
     assert (tmp_path / "sub" / "y.txt").read_text() == "Jello"
 
 
+@pytest.mark.parametrize("width", [8, 64, 4_096])
+def test_conflicting_batches_against_all_pairs(spark, width):
+    import random
+
+    r = random.Random(width)
+    made, want = [], set()
+    for trial in range(150):  # each in a file of its own
+        some = [(f"{trial}:{r.randrange(1, 9)}", f"f{trial}", r.randrange(-40, 300), r.choice((0, 0, 1, 3, 30, -1, -4)), r.choice(("x", "x", "x", "y", None))) for _ in range(r.randrange(1, 14))]
+        some += [(f"{trial}:{r.randrange(1, 9)}", *r.choice(some)[1:]) for _ in range(r.randrange(3))]  # equal edits
+        for b, _, a, x, t in some:
+            for c, _, e, y, u in some:
+                if b != c and (a, x, t) != (e, y, u) and ((a <= e + y and e <= a + x) if not x or not y else (a < e + y and e < a + x)):
+                    want |= {b, c}
+        made += some
+    made += [(None, "f1", 5, 200, "x"), ("nowhere", None, 5, 2, "x"), ("nowhere 2", None, 5, 2, "y"), ("no place", "f1", None, 4, "x"), ("no length", "f1", 5, None, "x")]
+    e = spark.createDataFrame(made, "batch_id string, file_identity string, start int, length int, replacement string")
+    assert {x[0] for x in spans.overlapped(e, "file_identity", "batch_id", "replacement", width).collect()} == want
+    assert {x for pair in edits.conflicting(e).collect() for x in pair} == want
+    assert rows(edits.without_conflicts(e), *e.columns) == sorted((m for m in made if m[0] not in want), key=str)
+    assert 100 < len(want) < len({m[0] for m in made}) - 100
+
+
+def test_conflicts_of_a_crowded_file(spark):
+    n = 100_000  # five billion pairs of edits in one bin
+    batch = F.concat(F.lit("b"), F.col("id").cast("string"))
+    at = F.when(F.col("id") < n, F.col("id") % 50).otherwise(900)
+    e = spark.range(n + 2).select(F.lit("f").alias("file_identity"), batch.alias("batch_id"), at.alias("start"), F.lit(5).alias("length"), F.lit("x").alias("replacement"))
+    with within(spark, 60):
+        assert rows(edits.without_conflicts(e), "batch_id") == [("b100000",), ("b100001",)]
+
+
 def test_lexer(spark):
     source = 'var s = "// no"; // yes\n/* a\n b */ /// doc\nchar c = \'/\'; @"c:\\" 😀 1.5f'
     df = spark.createDataFrame([("c", "d", source), ("c", "e", None)], "context_id string, document_id string, text string")
