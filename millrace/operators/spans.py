@@ -41,6 +41,26 @@ def containment_join(inner: DataFrame, outer: DataFrame, document: Sequence[str]
     return inner.select("*", F.inline(asked)).join(dealt, [*document, level, bin_]).where(test).drop(level, bin_)
 
 
+def holding_join(points: DataFrame, scopes: DataFrame, document: Sequence[str], at: str, start: Column, end: Column) -> DataFrame:
+    """``points`` with the ``scopes`` of their document that hold them: start <= at < end.
+
+    Dealt as in ``containment_join``, on levels up to the widest long, so that a scope
+    without an end reaches few bins too.  Which levels have scopes is looked up
+    first; a point asks on those only.
+    """
+    level, bin_, low, high = (fresh(stem, points, scopes) for stem in ("_level", "_bin", "_low", "_high"))
+    widths = [float(BIN * WIDER**k) for k in range(16)]
+    length = F.col(high).cast("double") - F.col(low).cast("double")
+    own = F.greatest(F.lit(0), F.ceil(F.log(float(WIDER), length / BIN))).cast("int")
+    width = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col(level) + 1)
+    real = scopes.withColumn(low, start).withColumn(high, end).where(F.col(low) < F.col(high)).withColumn(level, own)
+    levels = sorted(r[0] for r in real.select(level).distinct().collect()) or [0]  # 16 at most
+    dealt = real.withColumn(bin_, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    asked = F.array(*[F.struct(F.lit(k).alias(level), F.floor(F.col(at) / widths[k]).alias(bin_)) for k in levels])
+    test = (F.col(low) <= F.col(at)) & (F.col(at) < F.col(high))
+    return points.select("*", F.inline(asked)).join(dealt, [*document, level, bin_]).where(test).drop(level, bin_, low, high)
+
+
 def innermost(joined: DataFrame, key: Sequence[str]) -> DataFrame:
     """Of the scopes that hold each row, the smallest; of equal ones, the one that starts last."""
     order = Window.partitionBy(*key).orderBy((F.col("o_end") - F.col("o_start")).asc(), F.col("o_start").desc())

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import facts
-from tests.conftest import rows
+from tests.conftest import rows, within
 
 
 def test_definitions_references_and_types(spark):
@@ -62,6 +62,38 @@ def test_scopes_views_and_properties(spark):
     assert [r.start for r in facts.property_view_order(made).collect()] == [2, 3]
 
 
+def test_values_in_scope_against_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    uses = [(r.choice(("d", "e", None)), i, r.choice((None, r.randrange(-500, 90_000), r.randrange(2_000)))) for i in range(300)] + [("d", 300, 2**63 - 2)]
+    values = []
+    for i in range(300):
+        a = r.choice((None, r.randrange(-500, 90_000), r.randrange(2_000)))
+        size = r.choice((-5, 0, 1, 255, 256, 257, 4_096, 5_000, 70_000, 2_000_000))
+        values.append((r.choice(("d", "e", "other", None)), f"v{i}", a, None if a is None or i % 29 == 0 else a + size, None if a is None or i % 31 == 0 else a + r.choice((-3, 0, 0, 40))))
+    values += [("d", "whole", 0, 2**63 - 1, 0), ("e", "all", -(2**61), 2**61, -(2**61))]
+    want = []
+    for d, use, at in uses:
+        held = [(y - x, -z, name) for e, name, x, y, z in values if None not in (d, at, x, y, z) and d == e and x <= at < y and z <= at]
+        want += [(use, rank + 1, name) for rank, (_, _, name) in enumerate(sorted(held))]
+    u = spark.createDataFrame(uses, "document_id string, use_id int, at long")
+    v = spark.createDataFrame(values, "document_id string, name string, scope_start long, scope_end long, declared_at long")
+    found = facts.values_in_scope(u, v)
+    assert found.columns == ["document_id", "use_id", "at", "name", "scope_start", "scope_end", "declared_at", "rank"]
+    assert rows(found, "use_id", "rank", "name") == sorted(want, key=str) and len(want) > 800
+    assert facts.values_in_scope(u, v.where("false")).isEmpty()
+
+
+def test_values_in_scope_of_a_long_document(spark):
+    n = 400_000  # 160 billion pairs of uses and values in one document
+    uses = spark.range(n).select(F.lit("d").alias("document_id"), F.col("id").alias("use_id"), (F.col("id") * 100).alias("at"))
+    values = spark.range(n).select(F.lit("d").alias("document_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"), (F.col("id") * 100 - 100).alias("scope_start"), (F.col("id") * 100 + 100).alias("scope_end"), (F.col("id") * 100 - 100).alias("declared_at"))
+    with within(spark, 60):
+        found = facts.values_in_scope(uses, values)
+        assert [tuple(x) for x in found.groupBy("rank").agg(F.count(F.lit(1)), F.min("use_id"), F.max("use_id")).orderBy("rank").collect()] == [(1, n, 0, n - 1), (2, n - 1, 0, n - 2)]
+
+
 def test_paths_parents_and_routes(spark):
     keys = spark.createDataFrame([(1, "O", ["a", "b"]), (2, "O", ["a", "zz"]), (3, "O", ["twice"])], "key_id int, type string, segments array<string>")
     members = spark.createDataFrame([("O", "a", "O.a", "P"), ("P", "b", "P.b", "Q"), ("O", "twice", "m1", "P"), ("O", "twice", "m2", "P")], "owner string, name string, member string, result string")
